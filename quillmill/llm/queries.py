@@ -12,6 +12,7 @@ from .lm_scoring import score_texts
 from .ngram_join import near_duplicates
 from .packing import pack
 from .sharding import place
+from .toxicity import score_documents
 from .url_filter import filter_urls
 from .warc import round_trip
 
@@ -78,6 +79,10 @@ SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.org/en/1', 'exampl
 """
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 

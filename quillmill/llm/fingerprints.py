@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import parts
-from .kernels import _BYTE, U, mix, pieces, powers
+from .kernels import _BYTE, distinct, mix, pieces, powers
 
 K = 128
 WIDTH = 12
@@ -33,10 +33,10 @@ class BottomK:
     @classmethod
     def of_hashes(cls, h: np.ndarray, k: int = K) -> BottomK:
         if len(h) > 8 * k:  # most often the least 4k hold k distinct ones
-            low = np.unique(np.partition(h, 4 * k)[: 4 * k])
+            low = distinct(np.partition(h, 4 * k)[: 4 * k])
             if len(low) >= k:
                 return cls(low[:k], k)
-        return cls(np.unique(h)[:k], k)
+        return cls(distinct(h)[:k], k)
 
     @classmethod
     def parse(cls, text: str, k: int = K) -> BottomK:
@@ -46,7 +46,7 @@ class BottomK:
         return base64.b64encode(self.hashes.astype(">u8").tobytes()).decode()
 
     def merge(self, other: BottomK) -> BottomK:
-        return BottomK(np.union1d(self.hashes, other.hashes)[: self.k], self.k)
+        return BottomK(distinct(np.concatenate((self.hashes, other.hashes)))[: self.k], self.k)
 
     def distinct(self) -> float:
         """Number of distinct shingles: exact below k, else from the k-th least hash."""
@@ -57,10 +57,13 @@ class BottomK:
     def resemblance(self, other: BottomK) -> float:
         """Intersection over union; 1 for two empty sketches."""
         a, b = self.hashes, other.hashes
-        union = np.union1d(a, b)[: min(self.k, other.k)]
-        if not len(union):
+        if not len(a) + len(b):
             return 1.0
-        return int(np.isin(union, a, assume_unique=True).__and__(np.isin(union, b, assume_unique=True)).sum()) / len(union)
+        both = np.sort(np.concatenate((a, b)))
+        first = np.concatenate(([True], both[1:] != both[:-1]))
+        size = min(self.k, other.k, int(first.sum()))
+        place = np.cumsum(first)  # rank in the union; a hash of both stands there twice
+        return int(np.count_nonzero(~first & (place <= size))) / size
 
     def containment(self, other: BottomK) -> float:
         """The share of this text's shingles that the other has too; 1 for an empty one."""

@@ -36,6 +36,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values; sorting is several times as fast as numpy's hashing here."""
+    x = np.sort(x)
+    return x[np.concatenate(([True], x[1:] != x[:-1]))] if len(x) else x
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers.get("p", ())) < n:
         n = 1 << max(16, (n - 1).bit_length())
@@ -102,7 +108,7 @@ def shingle_hashes(words: np.ndarray, first: np.ndarray, width: int = 5) -> list
     out = []
     for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
         if b - a >= width:
-            out.append(np.unique(s[a : b - width + 1]))
+            out.append(distinct(s[a : b - width + 1]))
         elif b > a:
             short = np.sum(words[a:b] * _COEF[8 : 8 + b - a], dtype=np.uint64, keepdims=True)
             out.append(mix(short + U(b - a)))

@@ -22,13 +22,12 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import fold, parts, remove, written
-from .kernels import U, Words, mix, pieces
+from .kernels import U, Words, distinct, mix, pieces
 
 DEPTH = 5  # context bytes; the key of a context and a byte has to fit 64 bits
 CHUNK_BYTES = 8 << 20
@@ -199,7 +198,9 @@ def _gather(buckets: int, depth: int):
         for b in batches:
             for piece in pieces(b.column("text").to_pylist()):
                 for kind, keys in ((NGRAM, keys_of(piece, depth)[0]), (WORD, words_of(piece)[0])):
-                    u, n = np.unique(keys, return_counts=True)
+                    keys.sort()
+                    cut = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+                    u, n = keys[cut], np.diff(cut, append=len(keys))
                     held[kind].append((u, n.astype(np.uint64)))
                     size[kind] += len(u)
                     if size[kind] > 2 * GATHER_KEYS and (rows := flush(kind, False)):
@@ -257,11 +258,11 @@ def _ask(buckets: int, depth: int):
         texts = [t for c in table.column("text").chunks for t in c.to_pylist()]
         found: dict[int, list] = {NGRAM: [], WORD: []}
         for piece in pieces(texts):
-            found[NGRAM].append(np.unique(keys_of(piece, depth)[0]))
-            found[WORD].append(np.unique(words_of(piece)[0]))
+            found[NGRAM].append(distinct(keys_of(piece, depth)[0]))
+            found[WORD].append(distinct(words_of(piece)[0]))
         rows = []
         for kind, some in found.items():
-            rows += _rows(kind, np.unique(np.concatenate(some)), None, buckets, depth, key[0].as_py())
+            rows += _rows(kind, distinct(np.concatenate(some)), None, buckets, depth, key[0].as_py())
         return pa.Table.from_batches([_batch(rows)])
 
     return ask
@@ -300,6 +301,16 @@ def _sums(first: np.ndarray, value: np.ndarray) -> np.ndarray:
     return np.add.reduceat(value, first[:-1]) if len(first) > 1 else np.zeros(0)
 
 
+def _looked_up(keys: np.ndarray, known: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """The value of every key; ``known`` is sorted. Each distinct key is searched once, in order."""
+    order = np.argsort(keys)
+    s = keys[order]
+    cut = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
+    out = np.empty(len(keys), value.dtype)
+    out[order] = np.repeat(value[np.searchsorted(known, s[cut])], np.diff(cut, append=len(s)))
+    return out
+
+
 def _score(buckets: int, depth: int):
     def score(docs: pa.Table, answers: pa.Table) -> pa.Table:
         texts = [t for c in docs.column("text").chunks for t in c.to_pylist()]
@@ -310,11 +321,11 @@ def _score(buckets: int, depth: int):
         # the keys in the order of the answers: by bucket, then by key
         known: dict[int, list] = {NGRAM: [], WORD: []}
         for piece in pieces(texts):
-            known[NGRAM].append(np.unique(keys_of(piece, depth)[0]))
-            known[WORD].append(np.unique(words_of(piece)[0]))
+            known[NGRAM].append(distinct(keys_of(piece, depth)[0]))
+            known[WORD].append(distinct(words_of(piece)[0]))
         value = {}
         for kind, some in known.items():
-            keys = np.unique(np.concatenate(some))
+            keys = distinct(np.concatenate(some))
             order = np.argsort(_bucket(kind, keys, buckets, depth), kind="stable")
             own = np.empty(len(keys), np.float64)
             own[order] = table[kind]
@@ -323,8 +334,7 @@ def _score(buckets: int, depth: int):
         for piece in pieces(texts):
             got = []
             for kind, (keys, first) in ((NGRAM, keys_of(piece, depth)), (WORD, words_of(piece))):
-                codes, unique = pd.factorize(keys)
-                got.append((value[kind][np.searchsorted(known[kind], unique)][codes], first))
+                got.append((_looked_up(keys, known[kind], value[kind]), first))
             (p, first), (c, start) = got
             out.append((np.diff(start), _sums(start, (c > 0).astype(np.float64)), _sums(start, np.log10(c + 0.1)), np.diff(first), _sums(first, p)))
         n, k, base, size, s = (np.concatenate(x) for x in zip(*out, strict=True))

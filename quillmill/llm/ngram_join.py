@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,7 +41,7 @@ CHUNK_BYTES = 4 << 20
 BUCKET_BYTES = 4 << 20
 STAR_ROUNDS = 2
 
-_ONE = "doc_id long, n int, sig binary, h array<long>, pos array<int>, rare int, items binary"
+_ONE = "doc_id long, row_key long, n int, sig binary, h array<long>, pos array<int>, rare int, items binary"
 
 
 class PrefixTree:
@@ -174,7 +175,8 @@ def _order(width: int, bits: int, num: int, den: int):
                 out["items"][i] = s[by[::-1]].tobytes()  # common items first: paths are shared from the root on
         return pa.table(
             {
-                "doc_id": docs.column("doc_id").combine_chunks(),
+                "doc_id": docs.column("doc_id"),
+                "row_key": docs.column("row_key"),
                 "n": pa.array([len(s) for s in sets], pa.int32()),
                 "sig": pa.array(sigs, pa.binary()),
                 "h": pa.array(out["h"], pa.list_(pa.int64())),
@@ -213,34 +215,74 @@ def _fits(n: str, m: str, i: str, j: str, num: int, den: int) -> str:
 
 
 def near_duplicates(docs: DataFrame, num: int = 80, den: int = 100, width: int = 5) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, sig.
+    """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id.
 
     Two documents are linked when ``den * intersection >= num * union`` of
     their sets of shingles of ``width`` words; ``component_id`` is the least
-    doc_id that links lead to, and ``sig`` identifies the set.
-    Null and empty texts have no shingles and are linked with nothing: their
-    component is their own id. A row without doc_id takes part, but gives no
-    component its id; a component without any id is null. Repeated rows are
-    exact copies. Further columns of ``docs`` are not read.
+    doc_id that links lead to. Null and empty texts have no shingles and are
+    linked with nothing: their component is their own id. A row without doc_id
+    takes part, but gives no component its id; a component without any id is
+    null. Repeated rows are exact copies. Further columns are not read.
     """
+    rows, classes = _classes(docs, num, den, width)
+    low = classes.groupBy("label").agg(F.min("low").alias("component_id"))
+    low = classes.join(low, "label").select("sig", "component_id")
+    out = rows.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "sig")
+    lone = out.where("sig IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return out.where("sig IS NOT NULL").join(low, "sig").select("doc_id", "n_shingles", "component_id").union(lone)
+
+
+def keep_one(docs: DataFrame, num: int = 80, den: int = 100, width: int = 5) -> DataFrame:
+    """The rows of ``docs`` without near duplicates: of each component the row with the least doc_id.
+
+    Rows without doc_id come after those with one; between rows of one id a
+    hash of their text decides, and one of identical rows (id and text) stays.
+    Rows without shingles (null, empty or blank text) all stay. All columns
+    of ``docs``, whatever their names, are returned as they are.
+    """
+    rows, classes = _classes(docs, num, den, width)
+    keys = rows.join(classes.select("sig", "label"), "sig")
+    last = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")
+    best = keys.groupBy("label").agg(F.min(last).alias("x")).select("x.row_key", F.lit(True).alias("one"))
+    kept = best.union(rows.where("sig IS NULL").groupBy("row_key").agg(F.lit(False).alias("one")))
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), _row_key(docs).alias("row_key"))
+    found = whole.join(kept, "row_key")
+    twice = rows.where("sig IS NOT NULL").groupBy("row_key").agg(F.count("*").alias("k")).where("k > 1").select("row_key")
+    once = found.where("NOT one").select("row").union(found.where("one").join(twice, "row_key", "left_anti").select("row"))
+    again = found.where("one").join(twice, "row_key", "left_semi").groupBy("row_key").agg(F.any_value("row").alias("row")).select("row")
+    return once.union(again).select("row.*")
+
+
+def _row_key(docs: DataFrame):
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text"))
+
+
+def _classes(docs: DataFrame, num: int, den: int, width: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, row_key, n, sig) and classes of equal sets (sig, label, low): component and least doc_id."""
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _row_key(docs).alias("row_key"))
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     chunks = max(1, math.ceil(size / CHUNK_BYTES))
     bits = max(2, math.ceil(math.log2(max(1, size / 6 * 4 / BUCKET_BYTES))))
-    dealt = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks))).repartition(max(chunks, parts(spark)), "chunk")
+    dealt = docs.withColumn("chunk", F.pmod("row_key", F.lit(chunks))).repartition(max(chunks, parts(spark)), "chunk")
     asked = dealt.groupBy("chunk").applyInArrow(_requests(width, bits), "bucket long, chunk long, keys binary, counts binary")
     told = asked.groupBy("bucket").applyInArrow(_answer, "chunk long, bucket long, codes binary")
     one = written(dealt.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(_order(width, bits, num, den), _ONE), "sets")
-    labels = _labels(one, num, den)
     classes = one.where("sig IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("low"))
-    known = classes.join(labels, "sig")
-    low = known.groupBy("label").agg(F.min("low").alias("low")).join(known.select("sig", "label"), "label")
-    low = classes.join(low.select("sig", F.col("low").alias("joint"), F.lit(True).alias("known")), "sig", "left")
-    low = low.select("sig", F.when(F.col("known"), F.col("joint")).otherwise(F.col("low")).alias("low"))
-    out = one.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "sig")
-    lone = out.where("sig IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "sig")
-    return out.where("sig IS NOT NULL").join(low, "sig").select("doc_id", "n_shingles", F.col("low").alias("component_id"), "sig").union(lone)
+    classes = classes.join(_labels(one, num, den), "sig", "left").select("sig", F.coalesce("label", "sig").alias("label"), "low")
+    return one.select("doc_id", "row_key", "n", "sig"), classes
+
+
+class _Bucketed:
+    """A table in the warehouse, bucketed by ``key``: joins on the key do not shuffle it again."""
+
+    def __init__(self, df: DataFrame, key: str):
+        self.spark, self.name, n = df.sparkSession, f"quillmill_{uuid.uuid4().hex}", parts(df.sparkSession)
+        df.repartition(n, key).write.bucketBy(n, key).sortBy(key).saveAsTable(self.name)
+        self.rows = self.spark.table(self.name)
+
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE {self.name}")
 
 
 def _labels(one: DataFrame, num: int, den: int) -> DataFrame:
@@ -252,7 +294,7 @@ def _labels(one: DataFrame, num: int, den: int) -> DataFrame:
     common = posts.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h")
     posts = written(posts.join(common, "h"), "postings")
     items = cand.select("sig", "items").join(posts.select("sig").distinct(), "sig", "left_semi").groupBy("sig").agg(F.any_value("items").alias("items"))
-    items = written(items, "items")
+    items = _Bucketed(items, "sig")
     labels = None
     for step in range(STAR_ROUNDS + 1):
         now = posts.withColumn("label", F.col("sig")) if labels is None else posts.join(labels, "sig", "left").withColumn("label", F.coalesce("label", "sig"))
@@ -264,9 +306,11 @@ def _labels(one: DataFrame, num: int, den: int) -> DataFrame:
             main = now.groupBy("h", "label").agg(F.count("*").alias("k")).groupBy("h").agg(F.max_by("label", F.struct("k", "label")).alias("main"), F.count("*").alias("m")).where("m > 1").select("h", "main")
             rest = now.join(main, "h").where("label <> main").select("h", "main", F.col("sig").alias("sig2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("label").alias("label2"))
             pairs = now.join(rest, "h").where("label <> label2 AND (label = main OR sig < sig2)").where(_fits("n", "n2", "pos", "pos2", num, den)).select(F.col("sig2").alias("a"), F.col("sig").alias("b"))
-        pairs = pairs.distinct()
+        pairs = written(pairs.distinct(), "pairs")
+        if not pairs.limit(1).count():
+            break
         with settings(spark, spark__sql__execution__arrow__maxRecordsPerBatch=256):
-            both = pairs.join(items.withColumnRenamed("sig", "b"), "b").join(items.select(F.col("sig").alias("a"), F.col("items").alias("probe")), "a")
+            both = pairs.join(items.rows.withColumnRenamed("sig", "b"), "b").join(items.rows.select(F.col("sig").alias("a"), F.col("items").alias("probe")), "a")
             new = written(both.select("a", "b", "items", "probe").mapInArrow(_compare(num, den), "a binary, b binary"), "links")
         if new.limit(1).count():
             step_edges = new
@@ -279,5 +323,5 @@ def _labels(one: DataFrame, num: int, den: int) -> DataFrame:
                 nodes = labels.union(new.selectExpr("a AS sig", "a AS label").union(new.selectExpr("b AS sig", "b AS label")).distinct().join(labels, "sig", "left_anti"))
                 labels = written(nodes.join(merged, nodes.label == merged.at, "left").select("sig", F.coalesce("to", "label").alias("label")), "labels")
     remove(posts)
-    remove(items)
+    items.drop()
     return cand.limit(0).selectExpr("sig", "sig AS label") if labels is None else labels

@@ -27,7 +27,7 @@ from .common import fold, remove, written
 from .kernels import Words
 
 FOLDS = 5
-TRAIN_DOCUMENTS = 20_000  # bound of the sample of labelled rows: those with the least hash of their id
+TRAIN_DOCUMENTS = 20_000  # expected size of the sample of labelled rows, drawn by a hash of their id
 WINDOW = 4  # words on either side of a hit
 SHORTEST, LONGEST = 4, 12  # lengths of stems
 FUZZY_FROM = 5  # stems of so many characters may be misspelled by one edit
@@ -233,13 +233,14 @@ def choose_stems(counts: dict[str, tuple[int, int]], bad_docs: int, good_docs: i
 def train(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, most: int = TRAIN_DOCUMENTS) -> ToxicityModel:
     """Learn stems and weights from labelled rows whose crc32(doc_id) mod ``folds`` is not 0.
 
-    At most ``most`` rows of ``labels`` (doc_id, toxic), those with the least
-    hash of their id, are joined with ``docs`` (broadcast: the bound proves its
-    size). Near copies among them count once. Where either class has fewer than
+    About ``most`` rows of ``labels`` (doc_id, toxic) at most, drawn by a hash
+    of their distinct ids, are joined with ``docs`` (broadcast: the bound proves
+    its size). Near copies among them count once. Where either class has fewer than
     10 documents, the seed stems and default weights hold.
     """
     known = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").where(fold("doc_id", folds) != 0).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    share = min(1.0, most / max(1, known.count()))
+    known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < math.ceil(1_000_000 * share))
     own = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").mapInArrow(_kin, "doc_id long, text string, toxic int, kin binary")
     own = own.groupBy("kin", "toxic").agg(F.min_by("text", "doc_id").alias("text")).select("text", "toxic")
     own = written(own, "labelled")

@@ -20,6 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
 from .tokens import VOCABULARY, encoder
 
 SEQUENCE = 2048
@@ -118,6 +119,7 @@ def pack(docs: DataFrame, vocabulary: str = VOCABULARY, keep_ids: bool = False)
     )
     if not keep_ids:
         pieces = pieces.drop("ids")
+    pieces = written(pieces, "pieces")  # both branches below read it: texts are tokenised once
     last = f"{_PIECE}, {'ids array<long>, ' if keep_ids else ''}sequence_id long, offset long"
     packed = pieces.where("own IS NULL").groupBy("group").applyInArrow(_fill, last)
     whole = pieces.where("own IS NOT NULL").drop("group").withColumns({"sequence_id": F.col("own") * 2, "offset": F.lit(0).cast("long")}).drop("own")

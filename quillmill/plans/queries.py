@@ -430,14 +430,15 @@ def prompt_context(spark, d):
 
 # ---- answers ----
 
-_ANSWER = F.concat(F.lit("About "), F.col("doc_id").cast("string"), F.lit(".\n\n---\n📚 **Sources:**\n[1] "), F.col("source"), F.lit(" - Page 2 - A > B\n[2] "), F.col("lang"), F.lit(" - Page 1\nno source"))
+def _answer():
+    return F.concat(F.lit("About "), F.col("doc_id").cast("string"), F.lit(".\n\n---\n📚 **Sources:**\n[1] "), F.col("source"), F.lit(" - Page 2 - A > B\n[2] "), F.col("lang"), F.lit(" - Page 1\nno source"))
 
 
 @query(
     """SELECT doc_id, 'About ' || doc_id || '.' || chr(10) || chr(10) || '---' || chr(10) || '📚' AS answer, source || '/A > B;' || lang || '/' AS sources, 2::INTEGER AS n FROM documents"""
 )
 def parse_answers(spark, d):
-    a = _docs(spark, d).withColumn("a", _ANSWER).select("doc_id", A.clean_answer("a").alias("answer"), A.parse_sources("a").alias("s"))
+    a = _docs(spark, d).withColumn("a", _answer()).select("doc_id", A.clean_answer("a").alias("answer"), A.parse_sources("a").alias("s"))
     joined = F.array_join(F.transform("s", lambda x: F.concat(x["doc_name"], F.lit("/"), F.coalesce(x["section_title"], F.lit("")))), ";")
     return a.select("doc_id", "answer", joined.alias("sources"), F.size("s").alias("n"))
 

@@ -4,8 +4,9 @@ The base rules find e-mail addresses, IPv4 addresses, payment cards and phone
 numbers. Generators propose spans beside them, overlapping ones too: spelled-out
 addresses, and cards and numbers that a rule swallowed in a longer match and so
 dropped. Boosted trees judge a candidate by format and context. They learn from
-candidates that a rule confirms and those that no rule touches, counted by
-their few possible feature values; a threshold for each kind is calibrated on
+candidates that a rule confirms and those of the wrong form that no rule
+touches, counted by their few possible feature values (a well-formed candidate
+that no rule confirms is what they are to decide, so it teaches neither way); a threshold for each kind is calibrated on
 those counts. Trees become CASE expressions, so rows never leave the JVM.
 
 Positions are code points. Where a pattern matches is found by splitting the
@@ -219,7 +220,7 @@ def train(docs: DataFrame, most: int = TRAIN_DOCUMENTS) -> dict[str, Boosted]:
     one = _spans(sample).where("size(_more) > 0")
     own = "exists(_base, b -> b.k = c.k AND b.s = c.s AND b.e = c.e)"
     touched = "exists(_base, b -> b.k = c.k AND b.s < c.e AND c.s < b.e)"
-    rows = one.select(F.expr(f"explode(transform(_more, c -> named_struct('c', c, 'y', CASE WHEN {own} THEN 1 WHEN {touched} THEN -1 ELSE 0 END)))").alias("x")).where("x.y >= 0")
+    rows = one.select(F.expr(f"explode(transform(_more, c -> named_struct('c', c, 'y', CASE WHEN {own} THEN 1 WHEN {touched} OR c.valid = 1 THEN -1 ELSE 0 END)))").alias("x")).where("x.y >= 0")
     counts = rows.groupBy("x.c.k", *(f"x.c.{f}" for f in FEATURES)).agg(F.sum("x.y").alias("yes"), F.count("*").alias("n")).orderBy("k", *FEATURES).collect()
     assert len(counts) <= len(KINDS) * math.prod(len(v) for v in FEATURES.values())
     out = {}
@@ -234,9 +235,8 @@ def find(docs: DataFrame, models: dict[str, Boosted] | None = None) -> DataFrame
     """``docs`` with two columns more: ``_base``, the rules' spans, and ``_all``, those and the trees'; (k, s, e) in order of s, then kind.
 
     A candidate is added if its kind's trees accept it and it overlaps no
-    rule's span and no earlier candidate of its kind. Null texts count as
-    empty and have no spans; columns of these names, or ``_more``, must not
-    be in ``docs``.
+    rule's span. Null texts count as empty and have no spans. Columns of
+    ``docs`` must not begin with an underscore (``redact`` takes any).
     """
     models = train(docs) if models is None else models
     text = docs.withColumn("_text", F.col("text")).withColumn("text", F.coalesce("text", F.lit("")))
@@ -271,15 +271,16 @@ def redact(docs: DataFrame) -> DataFrame:
     Of overlapping spans the first stands for all that it touches. Null texts
     stay null. Other columns stay as they are.
     """
-    found = find(docs)
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    found = find(docs.select(row.alias("row"), "text"))
     step = (
         "aggregate(_all, named_struct('at', 0, 'out', CAST(array() AS ARRAY<STRING>)), "
         "(a, x) -> IF(x.s < a.at, named_struct('at', greatest(a.at, x.e), 'out', a.out), "
         "named_struct('at', x.e, 'out', array_append(a.out, concat(substr(text, a.at + 1, x.s - a.at), '[', upper(x.k), ']')))), "
         "a -> concat(array_join(a.out, ''), substr(text, a.at + 1)))"
     )
-    out = found.withColumn("text", F.expr(f"IF(text IS NULL OR size(_all) = 0, text, {step})")).drop("_base", "_all")
-    if "n_chars" in docs.columns:
-        kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(kind)))
-    return out.select(*docs.columns)
+    out = found.withColumn("text", F.expr(f"IF(text IS NULL OR size(_all) = 0, text, {step})"))
+    own = {c: F.col("row").getField(c) for c in docs.columns} | {"text": F.col("text")}
+    if "n_chars" in own:
+        own["n_chars"] = F.when(F.col("text").isNull(), own["n_chars"]).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*(v.alias(c) for c, v in own.items()))

@@ -292,19 +292,23 @@ def _labels(one: DataFrame, num: int, den: int) -> DataFrame:
     posts = cand.select("sig", "n", "rare", F.explode(F.arrays_zip("h", "pos")).alias("x")).select(F.col("x.h").alias("h"), F.col("x.pos").alias("pos"), "sig", "n", "rare")
     posts = posts.groupBy("h", "sig").agg(F.max("n").alias("n"), F.max("pos").alias("pos"), F.max("rare").alias("rare"))
     common = posts.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h")
+    common = written(common, "common")  # what joins by a possibly hot key is read from files, so that the join can be split
     posts = written(posts.join(common, "h"), "postings")
     items = cand.select("sig", "items").join(posts.select("sig").distinct(), "sig", "left_semi").groupBy("sig").agg(F.any_value("items").alias("items"))
     items = _Bucketed(items, "sig")
     labels = None
     for step in range(STAR_ROUNDS + 1):
-        now = posts.withColumn("label", F.col("sig")) if labels is None else posts.join(labels, "sig", "left").withColumn("label", F.coalesce("label", "sig"))
+        now = posts.withColumn("label", F.col("sig")) if labels is None else written(posts.join(labels, "sig", "left").withColumn("label", F.coalesce("label", "sig")), "labelled")
         if step < STAR_ROUNDS:
             first = F.struct("rare", "sig") if step == 0 else F.struct(F.xxhash64("sig", F.lit(step)), F.col("sig"))
             lead = now.groupBy("h").agg(F.min_by(F.struct("sig", "n", "pos", "label"), first).alias("lead"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("h", "lead")
+            lead = written(lead, "leaders")
             pairs = now.join(lead, "h").where("label <> lead.label").where(_fits("n", "lead.n", "pos", "lead.pos", num, den)).select(F.col("lead.sig").alias("a"), F.col("sig").alias("b"))
         else:
             main = now.groupBy("h", "label").agg(F.count("*").alias("k")).groupBy("h").agg(F.max_by("label", F.struct("k", "label")).alias("main"), F.count("*").alias("m")).where("m > 1").select("h", "main")
+            main = written(main, "main")
             rest = now.join(main, "h").where("label <> main").select("h", "main", F.col("sig").alias("sig2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("label").alias("label2"))
+            rest = written(rest, "rest")
             pairs = now.join(rest, "h").where("label <> label2 AND (label = main OR sig < sig2)").where(_fits("n", "n2", "pos", "pos2", num, den)).select(F.col("sig2").alias("a"), F.col("sig").alias("b"))
         pairs = written(pairs.distinct(), "pairs")
         if not pairs.limit(1).count():

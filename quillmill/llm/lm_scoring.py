@@ -196,7 +196,7 @@ def _gather(buckets: int, depth: int):
             return []
 
         for b in batches:
-            for piece in pieces(b.column("text").to_pylist()):
+            for piece in pieces(t.as_py() for t in b.column("text")):
                 for kind, keys in ((NGRAM, keys_of(piece, depth)[0]), (WORD, words_of(piece)[0])):
                     keys.sort()
                     cut = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))

@@ -18,13 +18,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import fold, remove, written
-from .kernels import Words
+from .kernels import Words, distinct
 
 FOLDS = 5
 TRAIN_DOCUMENTS = 20_000  # expected size of the sample of labelled rows, drawn by a hash of their id
@@ -171,9 +170,9 @@ class ToxicityModel:
     def column(self, text: str | Column) -> Column:
         model = self
 
-        @F.pandas_udf("double")
-        def score(texts: pd.Series) -> pd.Series:
-            return pd.Series([model.score(t) for t in texts], dtype="float64")
+        @F.arrow_udf("double")
+        def score(texts: pa.Array) -> pa.Array:
+            return pa.array((model.score(t.as_py()) for t in texts), pa.float64(), size=len(texts))
 
         return score(text)
 
@@ -208,8 +207,8 @@ def _kin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The three least word hashes of each text: near copies nearly always agree in them."""
     for b in batches:
         keys = []
-        for t in b.column("text").to_pylist():
-            keys.append(np.unique(Words([t or ""]).hashes())[:3].tobytes())
+        for t in b.column("text"):
+            keys.append(distinct(Words([t.as_py() or ""]).hashes())[:3].tobytes())
         yield pa.RecordBatch.from_arrays([*b.columns, pa.array(keys, pa.binary())], names=["doc_id", "text", "toxic", "kin"])
 
 

@@ -8,7 +8,10 @@ number is taken, which is a convention of these queries only.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -493,7 +496,9 @@ def extract_files(spark, d):
 def _shared(spark: SparkSession) -> str:
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="quillmill-")
+        own = tempfile.mkdtemp(prefix="quillmill-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        at = "file://" + own
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
@@ -501,8 +506,6 @@ def _shared(spark: SparkSession) -> str:
 @query()
 def tenant_lifecycle(spark, d):
     """Create, ingest, ingest anew, delete and list, in a store of its own in the shared folder."""
-    import uuid
-
     store = ChunkStore(spark, f"{_shared(spark)}/store-{uuid.uuid4().hex}", buckets=4)
     files = _docs(spark, d).select(_name().alias("name"), F.col("text").cast("binary").alias("content"))
     when = F.timestamp_seconds(F.lit(0))
@@ -524,8 +527,6 @@ def hybrid_retrieve(spark, d):
 @query()
 def ask_answers(spark, d):
     """All user questions of the first turns, asked of a store that holds every document."""
-    import uuid
-
     store = ChunkStore(spark, f"{_shared(spark)}/store-{uuid.uuid4().hex}", buckets=4)
     files = _docs(spark, d).select(_name().alias("name"), F.col("text").cast("binary").alias("content"))
     ingest_plan.ingest(store, files, "tenant", created_at=F.timestamp_seconds(F.lit(0)))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -21,7 +23,9 @@ def shared_dir(spark: SparkSession) -> str:
     """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="quillmill-")
+        own = tempfile.mkdtemp(prefix="quillmill-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        at = "file://" + own
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
@@ -49,6 +53,12 @@ def remove(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def cleanup(spark: SparkSession) -> None:
+    """Delete all tables and files that operators left in the shared folder; call it when their results are written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/quillmill")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

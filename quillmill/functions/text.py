@@ -5,6 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -95,13 +96,29 @@ def is_kept_line(line: Column, keep_tables: bool = False) -> Column:
     return (line == "") | kept
 
 
+def clean_composed(x: str | Column, keep_tables: bool = False) -> Column:
+    """The cleaner's steps after repair and composition; all of them stay in the JVM."""
+    lines = trimmed_lines(squeeze_newlines(squeeze_blanks(dehyphenate(F.coalesce(col(x), F.lit(""))))))
+    kept = F.array_join(F.filter(lines, lambda line: is_kept_line(line, keep_tables)), "\n")
+    return F.when(is_blank(x), F.lit("")).otherwise(kept)
+
+
 def clean_text(x: str | Column, repair: bool = True, keep_tables: bool = False) -> Column:
     """The whole cleaner; blank and null text become empty."""
-    text = F.coalesce(col(x), F.lit(""))
-    text = nfc(repair_mojibake(text) if repair else text)
-    lines = trimmed_lines(squeeze_newlines(squeeze_blanks(dehyphenate(text))))
-    kept = F.array_join(F.filter(lines, lambda line: is_kept_line(line, keep_tables)), "\n")
-    return F.when(is_blank(col(x)), F.lit("")).otherwise(kept)
+    return clean_composed(nfc(repair_mojibake(x) if repair else x), keep_tables)
+
+
+def clean_pages(pages: str | Column, keep_tables: bool = False) -> Column:
+    """An array of (page_number, text) with clean texts. Documents of ASCII alone never leave the JVM."""
+    p = col(pages)
+
+    @F.arrow_udf("array<struct<page_number:int,text:string>>")
+    def composed(x: pa.Array) -> pa.Array:
+        fixed = [None if v is None else [q and q | {"text": q["text"] and compose(repair_text(q["text"]))} for q in v] for v in x.to_pylist()]
+        return pa.array(fixed, pa.list_(pa.struct([("page_number", pa.int32()), ("text", pa.string())])))
+
+    whole = F.when(F.exists(p, lambda q: q["text"].rlike(r"[^\x00-\x7F]")), composed(p)).otherwise(p)
+    return F.transform(whole, lambda q: F.struct(q["page_number"].alias("page_number"), clean_composed(q["text"], keep_tables).alias("text")))
 
 
 def drop_page_lines(x: str | Column, page: str | Column, pages: str | Column) -> Column:

@@ -21,6 +21,13 @@ def test_composed_form_and_words_across_lines(spark):
     assert values(spark, T.clean_text("x"), ["été long", "çok-\nış"]) == ["été long", "çokış"]
 
 
+def test_pages_are_cleaned_in_place(spark):
+    rows = [([(1, "ok\nhello"), (2, None), None],), ([(1, "TÃ¼rkÃ§e metin"), (2, "été  x")],), (None,), ([],)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, pages array<struct<page_number:int,text:string>>")
+    got = [r[0] for r in df.orderBy("i").select(T.clean_pages("pages")).collect()]
+    assert [x and [(p.page_number, p.text) for p in x] for x in got] == [[(1, "hello"), (2, ""), (None, "")], [(1, "Türkçe metin"), (2, "été x")], None, []]
+
+
 def test_page_lines(spark):
     lines = ["3", "Page 3", "page3", "3 / 10", "3 of 10", "- 7 -", "– 7 –", "Page 4", "3 of 11", "Section 3"]
     kept = values(spark, T.drop_page_lines("x", F.lit(3), F.lit(10)), ["\n".join(lines)])

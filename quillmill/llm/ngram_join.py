@@ -314,7 +314,8 @@ def _labels(one: DataFrame, num: int, den: int) -> DataFrame:
         if not pairs.limit(1).count():
             break
         with settings(spark, spark__sql__execution__arrow__maxRecordsPerBatch=256):
-            both = pairs.join(items.rows.withColumnRenamed("sig", "b"), "b").join(items.rows.select(F.col("sig").alias("a"), F.col("items").alias("probe")), "a")
+            probes = written(pairs.select("a").distinct().join(items.rows.select(F.col("sig").alias("a"), F.col("items").alias("probe")), "a"), "probes")
+            both = pairs.join(items.rows.withColumnRenamed("sig", "b"), "b").join(probes, "a")
             new = written(both.select("a", "b", "items", "probe").mapInArrow(_compare(num, den), "a binary, b binary"), "links")
         if new.limit(1).count():
             step_edges = new

@@ -270,7 +270,7 @@ def _classes(docs: DataFrame, num: int, den: int, width: int) -> tuple[DataFrame
     one = written(dealt.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(_order(width, bits, num, den), _ONE), "sets")
     classes = one.where("sig IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("low"))
     classes = classes.join(_labels(one, num, den), "sig", "left").select("sig", F.coalesce("label", "sig").alias("label"), "low")
-    return one.select("doc_id", "row_key", "n", "sig"), classes
+    return one.select("doc_id", "row_key", "n", "sig"), written(classes, "classes")
 
 
 class _Bucketed:

@@ -183,6 +183,7 @@ def write_archives(pages: DataFrame, folder: str, least: int = REVISIT_BYTES) ->
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload")).withColumn("digest", F.sha1("payload"))
     large = F.octet_length("payload") >= least
     tops = p.where(large).groupBy("digest").agg(F.max("page_id").alias("top"), F.count("*").alias("k")).where("k > 1").select("digest", "top")
+    tops = written(tops, "tops")  # both sides of the join are then plain shuffles, and a hot digest can be split
     p1 = p.where(large).join(tops, "digest", "left").select("page_id", "url", "payload", F.when(F.col("page_id").isNull() | (F.col("page_id") < F.col("top")), F.col("top")).alias("refers_to"))
     rows = p1.union(p.where(~large).select("page_id", "url", "payload", F.lit(None).cast("long")))
 

@@ -269,7 +269,26 @@ def _listed_sql(inner: str) -> str:
     return f"SELECT conv_id, turn, (unnest(range(len(k))))::INTEGER AS position, unnest(k) AS keyword FROM ({inner})"
 
 
-@query()
+_NOT_WORD = r"[^\p{L}\p{Mn}\p{Nd}\p{Pc}]"
+
+
+def _outer(pattern: str) -> str:
+    """Matches of a pattern between word boundaries. Separators stand twice in ``t``, so that a match may take one on either side."""
+    return f"regexp_extract_all(t, '(?:^|{_NOT_WORD})({pattern})(?:$|{_NOT_WORD})', 1)"
+
+
+_SPECIAL_SQL = rf"""list_filter(list_concat(list_concat(list_concat(list_concat({_outer('(?i:[A-Z]{2,}[-_]?[0-9]+|0x[0-9A-F]+)')},
+    list_filter(regexp_extract_all(text, '{_WORD}+'), lambda w: regexp_matches(w, '^[A-Za-z]+$') AND NOT regexp_matches(w, '^[A-Z]+$') AND NOT regexp_matches(w, '^[a-z]+$'))),
+    regexp_extract_all(text, '"([^"]+)"', 1)), list_filter(regexp_extract_all(text, '{_WORD}+'), lambda w: regexp_matches(w, '^[A-Z]{{2,5}}$'))),
+    list_transform({_outer('[a-zA-Z]+-[a-zA-Z]+')}, lambda w: lower(w))), lambda w: regexp_matches(w, '[^\s\p{{Z}}]'))"""
+
+
+@query(
+    _listed_sql(
+        rf"""SELECT conv_id, turn, list_filter(w, lambda x, i: list_position(w, x) = i) AS k FROM (SELECT conv_id, turn, {_SPECIAL_SQL} AS w
+        FROM (SELECT *, regexp_replace(text, '([^\p{{L}}\p{{Mn}}\p{{Nd}}\p{{Pc}}-])', '\1\1', 'g') AS t FROM ({_TURNS})))"""
+    )
+)
 def keywords_special(spark, d):
     return _listed(_turns(spark, d), K.special_patterns("text"))
 
@@ -293,7 +312,19 @@ def keywords_words(spark, d):
     return _listed(_turns(spark, d), K.content_words("text"))
 
 
-@query()
+def _gathered(name: str, alias: str) -> str:
+    return f"SELECT conv_id, turn, list(keyword ORDER BY position) AS {alias} FROM ({SQL[name]}) GROUP BY conv_id, turn"
+
+
+@query(
+    _listed_sql(
+        f"""SELECT conv_id, turn, list_slice(list_filter(e, lambda x, i: list_position(list_transform(e, lambda y: lower(y)), lower(x)) = i), 1, 15) AS k
+        FROM (SELECT conv_id, turn, flatten(list_transform(f, lambda k: CASE WHEN lower(k) <> {FOLD.format('k')} THEN [k, {FOLD.format('k')}] ELSE [k] END)) AS e
+        FROM (SELECT conv_id, turn, list_concat(b, list_filter(w, lambda x: NOT list_contains(list_transform(b, lambda y: lower(y)), x))) AS f
+        FROM (SELECT t.conv_id, t.turn, list_concat(coalesce(s, []), coalesce(n, [])) AS b, coalesce(w, []) AS w FROM ({_TURNS}) t
+            LEFT JOIN ({_gathered('keywords_special', 's')}) USING (conv_id, turn) LEFT JOIN ({_gathered('keywords_ngrams', 'n')}) USING (conv_id, turn) LEFT JOIN ({_gathered('keywords_words', 'w')}) USING (conv_id, turn))))"""
+    )
+)
 def keywords_all(spark, d):
     return _listed(K.with_keywords(_turns(spark, d), "text"), F.col("keywords"))
 
@@ -404,10 +435,11 @@ _CONTEXT = rf"""{_CHOSEN}, ch AS (SELECT question_id, rn, text, {_NAME} AS doc_n
     kept AS (SELECT * FROM tr WHERE whole OR length(t) > 50)"""
 
 
-@query(
-    rf"""WITH {_CONTEXT} SELECT question_id, md5({TRIM.format("string_agg('[' || i || '] ' || t || CASE WHEN whole THEN chr(10) || chr(10) ELSE chr(10) END, '' ORDER BY i)")}) AS context,
+_BUDGET = rf"""SELECT question_id, md5({TRIM.format("string_agg('[' || i || '] ' || t || CASE WHEN whole THEN chr(10) || chr(10) ELSE chr(10) END, '' ORDER BY i)")}) AS context,
     string_agg('[' || i || '] ' || doc_name, '|' ORDER BY i) AS citations, sum(CASE WHEN whole THEN tk ELSE floor(length(t) / 3.5)::INTEGER END)::INTEGER AS tokens_used, count(*)::INTEGER AS chunk_count FROM kept GROUP BY question_id"""
-)
+
+
+@query(f"WITH {_CONTEXT} {_BUDGET}")
 def context_budget(spark, d):
     c = R.build_context(R.as_chunks(R.apply_threshold(_fused(spark, d)), _store(spark, d)))
     return c.select("question_id", F.md5(F.col("context").cast("binary")).alias("context"), F.array_join("citations", "|").alias("citations"), "tokens_used", "chunk_count")
@@ -516,12 +548,17 @@ def tenant_lifecycle(spark, d):
     return S.tenant_documents(store.chunks("tenant"))
 
 
-@query()
+@query(
+    f"""WITH {_CONTEXT}, bu AS ({_BUDGET}), ra AS (SELECT question_id, string_agg(rn || ':' || point_id, '|' ORDER BY rn) AS ranked FROM chosen GROUP BY question_id)
+    SELECT question_id, ranked, citations, tokens_used, context FROM ra JOIN bu USING (question_id)"""
+)
 def hybrid_retrieve(spark, d):
     """Questions to ranked, cited chunks: keyword and dense search, fusion, threshold, context."""
     chunks = R.retrieve(_asked(spark, d), _store(spark, d), _LOOSE)
-    context = R.build_context(chunks)
-    return chunks.groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("rn", "point_id"))).alias("ranked")).join(context, "question_id").select("question_id", "ranked", "citations", "tokens_used", F.md5(F.col("context").cast("binary")).alias("context"))
+    context = R.build_context(chunks).select("question_id", F.array_join("citations", "|").alias("citations"), "tokens_used", F.md5(F.col("context").cast("binary")).alias("context"))
+    ranked = chunks.groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("rn", "point_id"))).alias("r"))
+    text = F.array_join(F.transform("r", lambda x: F.concat_ws(":", x["rn"].cast("string"), x["point_id"].cast("string"))), "|")
+    return ranked.select("question_id", text.alias("ranked")).join(context, "question_id")
 
 
 @query()

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, parts, remove, written
+from .common import fold, parts, written
 from .kernels import U, Words, distinct, mix, pieces
 
 DEPTH = 5  # context bytes; the key of a context and a byte has to fit 64 bits

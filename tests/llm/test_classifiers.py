@@ -9,7 +9,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from quillmill.llm import pii
-from quillmill.llm.decontamination import clean, contaminated, lcs_length
+from quillmill.llm.decontamination import ANSWER, BLOCK, LCS, LCS_WITH_ANSWER, build_index, clean, confirm, contaminated, lcs_length
+from quillmill.llm.kernels import Words
 from quillmill.llm.toxicity import FUZZY_FROM, StemAutomaton, choose_stems, features, score_documents, train
 
 # ---- toxicity ----
@@ -125,6 +126,35 @@ def test_leaks_and_clean_documents(spark):
     assert {r.doc_id for r in clean(docs, bench).collect()} == set(range(300)) - {i for i, _ in got}
 
 
+def test_many_items_are_found_as_by_confirming_everywhere(spark):
+    rnd = random.Random(8)
+    word = lambda: f"w{int(rnd.paretovariate(0.5)) % 4000}"
+    text = lambda n: [word() for _ in range(n)]
+    items = [text(rnd.randrange(16, 40)) for _ in range(1000)]
+    rows, plants = [], []
+    for i in range(250):
+        k, words = rnd.randrange(len(items)), text(rnd.randrange(0, 80))
+        at = rnd.randrange(len(words) + 1)
+        words[at:at] = [word() if rnd.random() < (0, 0.2, 0.3)[i % 3] else x for x in items[k]]
+        rows.append((i, " ".join(words)))
+        plants.append((i, k))
+
+    def anywhere(i, k):
+        mine, doc = (Words([x]).hashes() for x in (" ".join(items[k]), rows[i][1]))
+        for s in range(0, len(doc), BLOCK):
+            share, answer = confirm(mine, doc[max(0, s - len(mine)) : s + 2 * BLOCK + len(mine)])
+            if share >= LCS or (share >= LCS_WITH_ANSWER and answer >= ANSWER):
+                return True
+        return False
+
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    index = build_index(docs, spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string"))
+    got = {(t, index.ids[i]) for t, i, *_ in index.search([t for _, t in rows])}
+    assert {p for p in plants if anywhere(*p)} <= got
+    some = {(i, k) for i in range(40) for k in range(0, 1000, 50) if anywhere(i, k)}
+    assert some == {(i, k) for i, k in got if i < 40 and k % 50 == 0}
+
+
 def test_odd_benchmarks(odd, none, spark):
     bench = spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta eta theta iota kappa"), (1, "x"), (None, "two words"), (2, None)], "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in contaminated(odd, bench).collect()}

@@ -312,7 +312,7 @@ def _labels(one: DataFrame, num: int, den: int) -> DataFrame:
             pairs = now.join(rest, "h").where("label <> label2 AND (label = main OR sig < sig2)").where(_fits("n", "n2", "pos", "pos2", num, den)).select(F.col("sig2").alias("a"), F.col("sig").alias("b"))
         pairs = written(pairs.distinct(), "pairs")
         if not pairs.limit(1).count():
-            break
+            continue  # leaders may fit nothing where other pairs do
         with settings(spark, spark__sql__execution__arrow__maxRecordsPerBatch=256):
             probes = written(pairs.select("a").distinct().join(items.rows.select(F.col("sig").alias("a"), F.col("items").alias("probe")), "a"), "probes")
             both = pairs.join(items.rows.withColumnRenamed("sig", "b"), "b").join(probes, "a")

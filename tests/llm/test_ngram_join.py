@@ -59,6 +59,14 @@ def test_components_as_by_all_pairs(spark, seed):
     assert sorted(map(tuple, got)) == sorted(brute(rows))
 
 
+def test_link_whose_leaders_fit_nothing(spark):
+    w = [f"w{i}" for i in range(1, 101)]
+    rows = [(1, w), (2, [*w[:49], "other", *w[50:]]), (3, w[:49]), (4, w[50:])]
+    rows = [(i, " ".join(x)) for i, x in rows]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got)) == sorted(brute(rows)) and brute(rows)[1][2] == 1
+
+
 def test_odd_rows(odd, none):
     from .conftest import ROWS, sort
 

@@ -62,10 +62,15 @@ def slot(key: str | Column, size: int = TABLE_SIZE) -> Column:
 def place(df: DataFrame, key: str = "doc_id", shards: Sequence[str] = SHARDS, size: int = TABLE_SIZE) -> DataFrame:
     """``key``, slot and shard for every row of ``df``.
 
-    A null key is placed like the empty string. Repeated keys go to the same
-    shard. The table is broadcast: its rows are fixed by ``size``. No shuffle.
+    A null key is placed like the empty string, a key of any length by its
+    hash. Repeated keys go to the same shard. A key column that is itself
+    named ``slot`` or ``shard`` keeps its name; the result then has two columns
+    of that name, the key first. The table is broadcast: its rows are fixed by
+    ``size``. No shuffle.
     """
     table = lookup_table(shards, size)
-    rows = pa.table({"slot": pa.array(np.arange(size), pa.int32()), "shard": pa.array([shards[i] for i in table], pa.string())})
+    rows = pa.table({"_slot": pa.array(np.arange(size), pa.int32()), "_shard": pa.array([shards[i] for i in table], pa.string())})
     slots = df.sparkSession.createDataFrame(rows)
-    return df.select(key, slot(key, size).alias("slot")).join(F.broadcast(slots), "slot").select(key, "slot", "shard")
+    own = df.select(F.col(f"`{key}`").alias("_key"))
+    found = own.withColumn("_slot", slot("_key", size)).join(F.broadcast(slots), "_slot")
+    return found.select(F.col("_key").alias(key), F.col("_slot").alias("slot"), F.col("_shard").alias("shard"))

@@ -5,15 +5,18 @@ closed by an end byte, as is its token sequence by the base model. Each byte is
 eight binary decisions; every decision has its own context tree over the bytes
 before it, down to ``DEPTH``. A node's estimate is Krichevsky-Trofimov's from
 the training counts, and the weighted probability of a node is half its own
-estimate's and half the product of its children's. Scoring mixes the estimates
-along the path with the weights that training left; a path ends where training
-never went. The score is the sum of log10 over all decisions.
+estimate's and half the product of its children's. The probability of a
+decision is the root's weighted probability with it over that without it: along
+the path, each node mixes its own estimate with its child's prediction by the
+weights that training left, and a child that training never reached predicts
+1/2. The score is the sum of log10 over all decisions.
 
 The trees are never in one place. Counts of (context, byte) are gathered by the
 nearest two context bytes, which holds whole subtrees from depth two on; the
 two depths above them are at most 65,536 small nodes. Texts are dealt into
 chunks, a chunk asks each bucket for the distinct (context, byte) it holds, and
-the answers are summed back over its texts. Word counts go the same way.
+the answers are summed back over its texts. Word counts go the same way. What
+the commonest two bytes are asked is dealt over several copies of their bucket.
 """
 
 from __future__ import annotations
@@ -23,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,8 +34,10 @@ from .common import fold, parts, written
 from .kernels import U, Words, distinct, mix, pieces
 
 DEPTH = 5  # context bytes; the key of a context and a byte has to fit 64 bits
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES, MOST_CHUNK_BYTES = 8 << 20, 64 << 20  # a chunk grows with the root of the input, so that requests stay packed
 GATHER_KEYS = 1 << 21
+GATHER_BYTES = 64 << 30  # counts of more text than this are merged in two rounds
+SALT_POSITIONS, SALT_KEYS = 1 << 20, 32  # training positions a copy of a bucket, and for each of the bucket's keys
 FOLDS = 10
 NGRAM, WORD = 0, 1
 _END = mix(np.array([0xE0D], np.uint64))
@@ -131,7 +137,7 @@ class _Tree:
         for j in range(8):
             heap = U(1 << j) | (symbol >> U(8 - j))
             one = ((symbol >> U(7 - j)) & U(1)).astype(bool)
-            p, seen = np.full(len(keys), 0.5), np.zeros(len(keys), bool)
+            p = np.full(len(keys), 0.5)  # what a child that training never reached predicts
             for d in range(self.depth, -1, -1):
                 nodes, kt, stop = levels[d]
                 if not len(nodes):
@@ -140,9 +146,7 @@ class _Tree:
                 at = np.minimum(np.searchsorted(nodes, node), len(nodes) - 1)
                 here = nodes[at] == node
                 est = np.where(one, kt[at], 1 - kt[at])
-                w = np.where(seen, stop[at], 1.0)  # below the last visited node there is nothing to mix in
-                p = np.where(here, w * est + (1 - w) * p, p)
-                seen |= here
+                p = np.where(here, stop[at] * est + (1 - stop[at]) * p, 0.5)
             out += np.log10(p)
         return out
 
@@ -152,24 +156,25 @@ def _bucket(kind: int, keys: np.ndarray, buckets: int, depth: int) -> np.ndarray
     return (mix(near) % U(buckets)).astype(np.int64)
 
 
-def _rows(kind: int, keys: np.ndarray, counts: np.ndarray | None, buckets: int, depth: int, chunk: int | None = None) -> list[tuple]:
-    """Sorted keys as one row a bucket."""
+def _rows(kind: int, keys: np.ndarray, counts: np.ndarray | None, buckets: int, depth: int, chunk: int, salts: dict[int, int] | None = None) -> list[tuple]:
+    """Sorted keys as one row a bucket; ``salts`` tells into how many copies the large buckets of n-grams are dealt."""
     b = _bucket(kind, keys, buckets, depth)
     order = np.argsort(b, kind="stable")
     b, keys = b[order], keys[order]
     cut = np.flatnonzero(np.diff(b, prepend=-1))
     out = []
     for a, e in zip(cut.tolist(), [*cut[1:].tolist(), len(b)], strict=True):
-        out.append((kind, int(b[a]), chunk, keys[a:e].tobytes(), None if counts is None else counts[order[a:e]].tobytes()))
+        salt = int(chunk * 0x9E3779B97F4A7C15 >> 32 & 0xFFFFFFFF) % salts.get(int(b[a]), 1) if salts and kind == NGRAM else 0
+        out.append((kind, int(b[a]), salt, chunk, keys[a:e].tobytes(), None if counts is None else counts[order[a:e]].tobytes()))
     return out
 
 
-_ROW = "kind int, bucket long, chunk long, keys binary, counts binary"
+_ROW = "kind int, bucket long, salt long, chunk long, keys binary, counts binary"
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["kind", "bucket", "chunk", "keys", "counts"])
+    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["kind", "bucket", "salt", "chunk", "keys", "counts"])
 
 
 def _merge(parts_: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -180,10 +185,11 @@ def _merge(parts_: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return keys[cut], np.add.reduceat(counts, cut) if len(cut) else counts
 
 
-def _gather(buckets: int, depth: int):
-    """Counts of the training texts of a task, combined before the shuffle."""
+def _gather(buckets: int, depth: int, rounds: int):
+    """Counts of the training texts of a task, combined before the shuffle. ``chunk`` is one of ``rounds`` parts of the tasks."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId() % rounds
         held: dict[int, list] = {NGRAM: [], WORD: []}
         size = {NGRAM: 0, WORD: 0}
 
@@ -191,7 +197,7 @@ def _gather(buckets: int, depth: int):
             keys, counts = _merge(held[kind])
             if last or len(keys) > GATHER_KEYS:
                 held[kind], size[kind] = [], 0
-                return _rows(kind, keys, counts, buckets, depth)
+                return _rows(kind, keys, counts, buckets, depth, part)
             held[kind], size[kind] = [(keys, counts)], len(keys)
             return []
 
@@ -216,6 +222,13 @@ def _blobs(table: pa.Table, name: str) -> list[np.ndarray]:
     return [np.frombuffer(x, np.uint64) for x in table.column(name).to_pylist()]
 
 
+def _merged(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    """One row of a bucket's counts from a part of the tasks."""
+    kind, bucket, chunk = (k.as_py() for k in key)
+    keys, counts = _merge([*zip(_blobs(table, "keys"), _blobs(table, "counts"), strict=True)])
+    return pa.Table.from_batches([_batch([(kind, bucket, 0, chunk, keys.tobytes(), counts.tobytes())])])
+
+
 _MODEL = "kind int, bucket long, keys binary, counts binary, n long, total long, node array<int>, n0 array<double>, n1 array<double>, weighted array<double>"
 
 
@@ -253,7 +266,20 @@ def _top(model: DataFrame) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     return out
 
 
-def _ask(buckets: int, depth: int):
+def _dealt(model: DataFrame) -> tuple[DataFrame, dict[int, int]]:
+    """The model with large buckets of n-grams in several copies (``salt``), and into how many; at most as many as two bytes have values.
+
+    A copy is asked for about SALT_POSITIONS positions, but at least for
+    SALT_KEYS times as many as its bucket has keys, so copies stay small
+    against what is asked of them.
+    """
+    copies = F.floor(F.least(F.col("total") / F.lit(SALT_POSITIONS), F.col("total") / F.lit(SALT_KEYS) / F.col("n")))
+    model = model.withColumn("copies", F.when(F.col("kind") == NGRAM, F.greatest(copies, F.lit(1))).otherwise(F.lit(1)))
+    salts = {r.bucket: r.copies for r in model.where("copies > 1").select("bucket", "copies").collect()}
+    return model.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1))), salts
+
+
+def _ask(buckets: int, depth: int, salts: dict[int, int]):
     def ask(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         texts = [t for c in table.column("text").chunks for t in c.to_pylist()]
         found: dict[int, list] = {NGRAM: [], WORD: []}
@@ -262,7 +288,7 @@ def _ask(buckets: int, depth: int):
             found[WORD].append(distinct(words_of(piece)[0]))
         rows = []
         for kind, some in found.items():
-            rows += _rows(kind, distinct(np.concatenate(some)), None, buckets, depth, key[0].as_py())
+            rows += _rows(kind, distinct(np.concatenate(some)), None, buckets, depth, key[0].as_py(), salts)
         return pa.Table.from_batches([_batch(rows)])
 
     return ask
@@ -353,8 +379,9 @@ def score_texts(docs: DataFrame, depth: int = DEPTH, folds: int = FOLDS) -> Data
 
     Columns: doc_id, held_out, n_tokens, n_known, train_tokens, base_score,
     score, code_bits_per_byte (code length over the bytes of the normalised
-    text and its end). Null and empty texts have the end token alone. A null
-    doc_id counts as the empty id. Repeated rows count as often as they
+    text and its end). Null and empty texts have the end token alone; a very
+    long text is scored whole, in memory of some hundred times its length. A
+    null doc_id counts as the empty id. Repeated rows count as often as they
     occur. Without training rows every binary decision has probability 1/2.
     Further columns are not read.
     """
@@ -362,14 +389,19 @@ def score_texts(docs: DataFrame, depth: int = DEPTH, folds: int = FOLDS) -> Data
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held.alias("held_out"))
     spark = docs.sparkSession
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    chunks, buckets = max(1, math.ceil(size / CHUNK_BYTES)), max(2 * parts(spark), math.ceil(size / CHUNK_BYTES))
-    gathered = docs.where("NOT held_out").select("text").mapInArrow(_gather(buckets, depth), _ROW)
+    chunk_bytes = min(MOST_CHUNK_BYTES, max(CHUNK_BYTES, 32 * math.isqrt(size)))
+    chunks = max(1, math.ceil(size / chunk_bytes))
+    buckets, rounds = max(2 * parts(spark), chunks), math.ceil((size + 1) / GATHER_BYTES)
+    gathered = docs.where("NOT held_out").select("text").mapInArrow(_gather(buckets, depth, rounds), _ROW)
+    if rounds > 1:
+        gathered = gathered.groupBy("kind", "bucket", "chunk").applyInArrow(_merged, _ROW)
     model = written(gathered.groupBy("kind", "bucket").applyInArrow(_model(depth), _MODEL), "model")
     top = _top(model)
     total, distinct = model.where(F.col("kind") == WORD).agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
     dealt = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks))).repartition(max(chunks, parts(spark)), "chunk")
-    asked = dealt.groupBy("chunk").applyInArrow(_ask(buckets, depth), _ROW)
-    told = asked.groupBy("kind", "bucket").cogroup(model.groupBy("kind", "bucket")).applyInArrow(_answer(depth, top), "kind int, bucket long, chunk long, values binary")
+    model, salts = _dealt(model)
+    asked = dealt.groupBy("chunk").applyInArrow(_ask(buckets, depth, salts), _ROW)
+    told = asked.groupBy("kind", "bucket", "salt").cogroup(model.groupBy("kind", "bucket", "salt")).applyInArrow(_answer(depth, top), "kind int, bucket long, chunk long, values binary")
     out = dealt.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(
         _score(buckets, depth), "doc_id long, held_out boolean, n_tokens long, n_known long, base double, n_bytes long, score double"
     )

@@ -1,5 +1,7 @@
+import functools
 import itertools
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -7,7 +9,8 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from quillmill.llm.lm_scoring import log_gamma, log_kt, score_texts
+from quillmill.llm import lm_scoring
+from quillmill.llm.lm_scoring import _Tree, keys_of, log_gamma, log_kt, score_texts
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -31,18 +34,19 @@ def base(rows):
 
 
 class Brute:
-    """Context-tree weighting by recursion over plain counts."""
+    """Context-tree weighting from its definition: the root's weighted probability of all decisions counted so far."""
 
     def __init__(self, texts, depth):
-        self.depth, self.n = depth, Counter()
+        self.depth, self.n, self.children = depth, Counter(), {}
         for t in texts:
             for context, node, bit in self.bits(t):
-                for d in range(depth + 1):
-                    self.n[context[:d], node, bit] += 1
-        self.children = {}
-        for c, node, _ in list(self.n):
-            if c:
-                self.children.setdefault((c[:-1], node), set()).add(c)
+                self.count(context, node, bit, 1)
+
+    def count(self, context, node, bit, by):
+        for d in range(self.depth + 1):
+            self.n[context[:d], node, bit] += by
+            if d:
+                self.children.setdefault((context[: d - 1], node), set()).add(context[:d])
 
     def bits(self, text):
         data = b"\n" * self.depth + b" ".join(tokens(text)) + b"\n"
@@ -56,37 +60,66 @@ class Brute:
         return math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
 
     def weighted(self, c, node):
+        """ln of (KT + product of the children) / 2, of KT alone at the last depth."""
         own = self.kt(c, node)
         if len(c) == self.depth:
             return own
         inner = sum(self.weighted(k, node) for k in self.children.get((c, node), ()))
         return np.logaddexp(own, inner) - math.log(2)
 
-    def p(self, context, node, bit, d=0):
-        c = context[:d]
-        n0, n1 = self.n[c, node, 0], self.n[c, node, 1]
-        if not n0 + n1:
-            return None
-        own = (self.n[c, node, bit] + 0.5) / (n0 + n1 + 1)
-        below = self.p(context, node, bit, d + 1) if d < self.depth else None
-        if below is None:
-            return own
-        w = math.exp(self.kt(c, node) - math.log(2) - self.weighted(c, node))
-        return w * own + (1 - w) * below
+    @functools.cache  # noqa: B019
+    def p(self, context, node, bit):
+        """The root's weighted probability with this decision over that without it."""
+        before = self.weighted((), node)
+        self.count(context, node, bit, 1)
+        after = self.weighted((), node)
+        self.count(context, node, bit, -1)
+        return math.exp(after - before)
 
     def score(self, text):
-        return sum(math.log10(self.p(c, node, b) or 0.5) for c, node, b in self.bits(text))
+        return sum(math.log10(self.p(c, node, b)) for c, node, b in self.bits(text))
 
 
-@pytest.mark.parametrize("depth", [2, 3])
-def test_scores_as_by_recursion(spark, depth):
-    rows = [(i, " ".join(("abra cadabra", "Ab ba", "cab", "")[(i * k) % 4] for k in range(1, 6))) for i in range(40)]
+@pytest.mark.parametrize("depth", [2, 3, 5])
+def test_scores_as_by_the_definition(spark, depth):
+    rnd = random.Random(depth)
+    rows = [(i, " ".join(rnd.choice(("abra", "cadabra", "Ab", "ba", "cab", "é")) for _ in range(rnd.randrange(0, 9)))) for i in range(60)]
     got = {r.doc_id: r for r in score_texts(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), depth=depth).collect()}
     model = Brute([t for i, t in rows if not held(i)], depth)
     for i, h, n, k, total, b in base(rows):
         r = got[i]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (h, n, k, total)
-        assert r.base_score == pytest.approx(b, rel=1e-9) and r.score == pytest.approx(model.score(rows[i][1]), rel=1e-4)
+        assert r.base_score == pytest.approx(b, rel=1e-9) and r.score == pytest.approx(model.score(rows[i][1]), rel=1e-5)
+
+
+def test_every_decision_as_by_the_definition():
+    depth, texts = 5, ["abra cadabra", "ab ba", "cab abra", "abra abra cab"]
+    model = Brute(texts, depth)
+    keys, counts = np.unique(np.concatenate([keys_of([t], depth)[0] for t in texts]), return_counts=True)
+    tree = _Tree(keys, counts.astype(np.uint64), depth, least=0)
+    seen = 0
+    for t in [*texts, "abacab", "zebra abba", "é"]:
+        bits = [*model.bits(t)]
+        got = tree.log10(keys_of([t], depth)[0], [])
+        for i, g in enumerate(got):
+            assert g == pytest.approx(sum(math.log10(model.p(*x)) for x in bits[8 * i : 8 * i + 8]), abs=1e-9)
+            seen += 8
+    assert seen > 400
+
+
+def test_large_buckets_and_inputs_are_dealt_out(spark, monkeypatch):
+    """Copies of buckets and merging in rounds change no score."""
+    rows = [(i, "abra cadabra " * (i % 7) + "cab" * (i % 3)) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    want = sorted(map(tuple, score_texts(docs).collect()))
+    for name, value in (("SALT_POSITIONS", 40), ("SALT_KEYS", 1), ("GATHER_BYTES", 4096), ("CHUNK_BYTES", 256), ("MOST_CHUNK_BYTES", 256)):
+        monkeypatch.setattr(lm_scoring, name, value)
+    dealt = []
+    deal = lm_scoring._dealt
+    monkeypatch.setattr(lm_scoring, "_dealt", lambda model: dealt.append(deal(model)) or dealt[-1])
+    got = sorted(map(tuple, score_texts(docs).collect()))
+    assert max(dealt[0][1].values()) > 2 and [g[:5] for g in got] == [w[:5] for w in want]
+    assert np.allclose([g[5:] for g in got], [w[5:] for w in want], rtol=1e-5)
 
 
 def test_a_proper_distribution(spark):
@@ -97,7 +130,7 @@ def test_a_proper_distribution(spark):
     for byte in range(256):
         p = 1.0
         for j in range(8):
-            p *= m.p((97, 97), (1 << j) | byte >> (8 - j), byte >> (7 - j) & 1) or 0.5
+            p *= m.p((97, 97), (1 << j) | byte >> (8 - j), byte >> (7 - j) & 1)
         total += p
     assert total == pytest.approx(1)
 

@@ -7,6 +7,7 @@ import re
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from quillmill.llm import pii
 from quillmill.llm.decontamination import ANSWER, BLOCK, LCS, LCS_WITH_ANSWER, build_index, clean, confirm, contaminated, lcs_length
@@ -223,6 +224,70 @@ def test_trees_add_what_a_longer_match_swallowed(spark):
     assert sum(extra) == 0
 
 
+CARD, WRONG = "4111 1111 1111 1111", "4111 1111 1111 1112"
+CONTEXT = [  # the same span, taken or left by its context alone; the exact test then holds for all but the last two
+    ("phone", "please call {} today", "415-555-2671", True), ("phone", "see order {} today", "415-555-2671", False),
+    ("phone", "Handy: {}", "0171 55 94432", True), ("phone", "Rechnung {}", "0171 55 94432", False),
+    ("phone", "phone {}", "(415) 555-2671", True), ("phone", "of the {}", "4155526719", False),
+    ("card", "credit card {} 2026 2", CARD, True), ("card", "invoice {} 2026 2", CARD, False),
+    ("email", "mail me: {}", "jo (at) mail.org", True), ("email", "order {}", "jo (at) mail.org", False),
+    ("ip", "login from {} ok", "10[.]20[.]30[.]40", True), ("ip", "version {} ok", "10[.]20[.]30[.]40", False),
+    ("card", "credit card {} 2026 2", WRONG, False), ("ip", "login from {}", "10[.]20[.]30[.]400", False),
+]
+
+
+def test_context_alone_decides(spark):
+    texts = [p.format(n) for _, p, n, _ in CONTEXT]
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    models = pii.train(docs.limit(0))  # what the seeds teach
+    for kind, m in models.items():
+        assert len(m.features() & set(pii.CONTEXT)) >= 2 and m.features() - set(pii.CONTEXT), kind
+    got = {r.doc_id: {(x.k, x.s, x.e) for x in r._all} for r in pii.find(docs, models).select("doc_id", "_all").collect()}
+    for i, (kind, phrase, number, want) in enumerate(CONTEXT):
+        s = phrase.index("{")
+        assert ((kind, s, s + len(number)) in got[i]) == want, texts[i]
+
+
+def test_trees_in_sql_score_as_in_python(spark):
+    rnd = random.Random(2)
+    models = pii.train(spark.createDataFrame([], "doc_id long, text string"))
+    rows = [(k, *(rnd.choice(v) for v in pii.FEATURES.values())) for k in pii.KINDS for _ in range(50)]
+    df = spark.createDataFrame(rows, "k string, " + ", ".join(f"{f} int" for f in pii.FEATURES)).selectExpr("struct(*) AS c")
+    for kind, m in models.items():
+        for r in df.where(f"c.k = '{kind}'").selectExpr("c", f"{m.sql('c')} AS score").collect():
+            assert abs(r.score - m.score(r.c.asDict())) < 1e-4
+
+
+def test_added_spans_stand_beside_the_rules(spark):
+    """Against plain Python: added spans hold by their exact test and touch no rule's span."""
+    rnd = random.Random(4)
+    parts = ["call", "card", "order", "at", "(at)", "dot", "org", "+1", "555", "4111 1111 1111 1111", "10.0.0.1", "10[.]0.0.1", "jo@a.b", "020 7946 0958", "4155526719", ", ", "ip", "tel"]
+    texts = [rnd.choice([" ", ""]).join(rnd.choice(parts) for _ in range(rnd.randrange(12))) for _ in range(500)]
+    added = 0
+    for r in pii.detect(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")).collect():
+        rule = {tuple(x.split(":")) for x in brute(texts[r.doc_id])}
+        every = {tuple(x.split(":")) for x in r.spans.split(",") if x}
+        assert rule <= every
+        for k, s, e in every - rule:
+            s, e, added = int(s), int(e), added + 1
+            d = re.sub("[^0-9]", "", texts[r.doc_id][s:e])
+            assert all(int(b) >= e or int(f) <= s for _, b, f in rule)
+            assert k != "phone" or 7 <= len(d) <= 15
+            assert k != "card" or sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(d[::-1])) % 10 == 0
+    assert added > 50
+
+
+def test_many_matches_in_one_text(spark):
+    """Work in proportion to the text, with many matches in one line."""
+    n = 30_000
+    df = spark.createDataFrame([(1, "10.0.0.1 x " * n), (2, "call 415-555-2671 x, " * 9000)], "doc_id long, text string")
+    models = pii.train(df.limit(0))
+    got = {r.doc_id: r for r in pii.find(df, models).selectExpr("doc_id", "size(_base) AS base", "size(_all) AS every", "_all[size(_all) - 1].s AS last").collect()}
+    assert (got[1].base, got[1].every, got[1].last) == (n, n, 11 * (n - 1)) and (got[2].base, got[2].every) == (0, 9000)
+    out = {r.doc_id: r.text for r in df.select("doc_id", F.expr(pii._replaced("text", f"transform(sequence(0, {n - 1}), i -> named_struct('k', 'ip', 's', i * 11, 'e', i * 11 + 8))", "'[IP]'", "''")).alias("text")).where("doc_id = 1").collect()}
+    assert out[1] == "[IP] x " * n
+
+
 def test_redaction(spark, odd):
     df = spark.createDataFrame([(1, "mail a@b.org or 1.2.3.4 é", 9, "x"), (2, None, 7, "y"), (3, "plain", 5, "z")], "doc_id long, text string, n_chars int, _all string")
     got = {r.doc_id: (r.text, r.n_chars, r._all) for r in pii.redact(df).collect()}

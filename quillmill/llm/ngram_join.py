@@ -13,9 +13,10 @@
    pair by pair, so no link between different components is lost, while a
    large group of near copies takes a number of comparisons in proportion to
    its size.
-4. A comparison puts the sets of a run into a prefix tree and walks it with the
-   other set: partial overlaps are shared along common paths, and a subtree is
-   left when its remaining length can no longer reach the threshold.
+4. Comparisons go in runs. A run's sets are put into one prefix tree, which
+   every probe of the run walks: partial overlaps are shared along common paths,
+   and a subtree is left when it holds none of the probe's candidates or when
+   its remaining length can no longer reach the threshold.
 
 Shingles are 64-bit hashes; two different shingles of a pair of texts share one
 with a probability of about 1e-19 for each pair of shingles.
@@ -26,7 +27,8 @@ from __future__ import annotations
 import hashlib
 import math
 import uuid
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -37,32 +39,38 @@ from .common import parts, remove, settings, written
 from .components import components
 from .kernels import U, shingles
 
-CHUNK_BYTES = 4 << 20
-BUCKET_BYTES = 4 << 20
+CHUNK_BYTES, MOST_CHUNK_BYTES = 4 << 20, 64 << 20  # chunks and buckets grow with the root of the input, so that requests stay packed
+BUCKET_BYTES, MOST_BUCKET_BYTES = 4 << 20, 256 << 20
 STAR_ROUNDS = 2
 
 _ONE = "doc_id long, row_key long, n int, sig binary, h array<long>, pos array<int>, rare int, items binary"
 
 
 class PrefixTree:
-    """Sets as paths of globally ordered items; nodes hold runs of items."""
+    """Sets as paths of globally ordered items; nodes hold runs of items.
+
+    Sets are inserted in the order of their paths, so the places in this order
+    of the sets below a node are a range.
+    """
 
     def __init__(self, sets: list[np.ndarray]):
         order = sorted(range(len(sets)), key=lambda i: sets[i].astype(">u8").tobytes())
-        self.root = _Node(np.zeros(0, np.uint64))
-        for i in order:
-            self._insert(sets[i], i)
+        self.root = _Node(np.zeros(0, np.uint64), 0)
+        self.place = [0] * len(sets)
+        for k, i in enumerate(order):
+            self.place[i] = k
+            self._insert(sets[i], i, k)
 
-    def _insert(self, items: np.ndarray, i: int) -> None:
+    def _insert(self, items: np.ndarray, i: int, k: int) -> None:
         n, node, at = len(items), self.root, 0
         while True:
-            node.least, node.most = min(node.least, n), max(node.most, n)
+            node.least, node.most, node.last = min(node.least, n), max(node.most, n), k
             if at == n:
                 node.ids.append(i)
                 return
             child = node.children.get(int(items[at]))
             if child is None:
-                node.children[int(items[at])] = leaf = _Node(items[at:])
+                node.children[int(items[at])] = leaf = _Node(items[at:], k)
                 leaf.least = leaf.most = n
                 leaf.ids.append(i)
                 return
@@ -71,23 +79,26 @@ class PrefixTree:
             differ = run[:m] != items[at : at + m]
             same = int(differ.argmax()) if differ.any() else m
             if same < len(run):  # split the run where the paths part
-                top = _Node(run[:same])
-                top.least, top.most = child.least, child.most
+                top = _Node(run[:same], child.first)
+                top.least, top.most, top.last = child.least, child.most, child.last
                 child.run = run[same:]
                 top.children[int(child.run[0])] = child
                 node.children[int(items[at])] = child = top
             node, at = child, at + same
 
-    def similar(self, probe: np.ndarray, num: int, den: int) -> Iterator[tuple[int, int]]:
-        """(set, overlap) of every set with ``den * overlap >= num * union``; ``probe`` is sorted by value."""
+    def similar(self, probe: np.ndarray, num: int, den: int, among: Sequence[int] | None = None) -> Iterator[tuple[int, int]]:
+        """(set, overlap) of every set, or those ``among`` which are asked for, with ``den * overlap >= num * union``; ``probe`` is sorted by value."""
         m = len(probe)
         if not m:
             return
+        asked = None if among is None else sorted(self.place[i] for i in among)
         stack = [(self.root, 0, 0)]
         while stack:
             node, depth, got = stack.pop()
             if node.most * den < num * m or node.least * num > den * m:
                 continue
+            if asked is not None and ((k := bisect_left(asked, node.first)) == len(asked) or asked[k] > node.last):
+                continue
             if len(node.run):
                 at = np.searchsorted(probe, node.run)
                 at[at == m] = 0
@@ -97,16 +108,16 @@ class PrefixTree:
             if got + node.most - depth < -(-num * (node.most + m) // (num + den)):
                 continue
             for i in node.ids:
-                if den * got >= num * (depth + m - got):
+                if den * got >= num * (depth + m - got) and (asked is None or self.place[i] in asked):
                     yield i, got
             stack.extend((c, depth, got) for c in node.children.values())
 
 
 class _Node:
-    __slots__ = ("children", "ids", "least", "most", "run")
+    __slots__ = ("children", "first", "ids", "last", "least", "most", "run")
 
-    def __init__(self, run: np.ndarray):
-        self.run, self.children, self.ids, self.least, self.most = run, {}, [], 1 << 62, 0
+    def __init__(self, run: np.ndarray, place: int):
+        self.run, self.children, self.ids, self.least, self.most, self.first, self.last = run, {}, [], 1 << 62, 0, place, place
 
 
 def _signature(s: np.ndarray) -> bytes:
@@ -190,19 +201,23 @@ def _order(width: int, bits: int, num: int, den: int):
 
 
 def _compare(num: int, den: int):
-    """Pairs (a, b) that are similar; rows of one a come in runs."""
+    """Pairs (a, b) that are similar. The sets b of a batch share one prefix tree, which each a walks once."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-            sets = [np.frombuffer(x, np.uint64) for x in batch.column("items").to_pylist()]
-            probes = batch.column("probe")
-            found, start = [], 0
-            for end in range(1, len(a) + 1):
-                if end == len(a) or a[end] != a[start]:
-                    probe = np.sort(np.frombuffer(probes[start].as_py(), np.uint64))
-                    found += [(a[start], b[start + i]) for i, _ in PrefixTree(sets[start:end]).similar(probe, num, den)]
-                    start = end
+            a, b, items, probes = (batch.column(x) for x in ("a", "b", "items", "probe"))
+            number: dict[bytes, int] = {}
+            sets: list[np.ndarray] = []
+            asked: dict[bytes, tuple[int, list[int]]] = {}
+            for row, (x, y) in enumerate(zip(a.to_pylist(), b.to_pylist(), strict=True)):
+                if y not in number:
+                    number[y] = len(sets)
+                    sets.append(np.frombuffer(items[row].as_py(), np.uint64))
+                asked.setdefault(x, (row, []))[1].append(number[y])
+            names, tree, found = list(number), PrefixTree(sets), []
+            for x, (row, among) in asked.items():
+                probe = np.sort(np.frombuffer(probes[row].as_py(), np.uint64))
+                found += [(x, names[i]) for i, _ in tree.similar(probe, num, den, among)]
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.binary()) for k in (0, 1)], names=["a", "b"])
 
     return compare
@@ -222,7 +237,8 @@ def near_duplicates(docs: DataFrame, num: int = 80, den: int = 100, width: int =
     doc_id that links lead to. Null and empty texts have no shingles and are
     linked with nothing: their component is their own id. A row without doc_id
     takes part, but gives no component its id; a component without any id is
-    null. Repeated rows are exact copies. Further columns are not read.
+    null. Repeated rows are exact copies. Very long texts are compared whole.
+    Further columns are not read.
     """
     rows, classes = _classes(docs, num, den, width)
     low = classes.groupBy("label").agg(F.min("low").alias("component_id"))
@@ -232,6 +248,35 @@ def near_duplicates(docs: DataFrame, num: int = 80, den: int = 100, width: int =
     return out.where("sig IS NOT NULL").join(low, "sig").select("doc_id", "n_shingles", "component_id").union(lone)
 
 
+def linked_classes(docs: DataFrame, num: int = 80, den: int = 100, width: int = 5) -> tuple[DataFrame, DataFrame]:
+    """All links: (doc_id, n_shingles, sig) of every row, and the pairs (a, b), a < b, of the classes ``sig`` of equal sets that are linked.
+
+    Rows of one class are linked with each other; rows without shingles have a
+    null ``sig`` and no links. Every pair of classes that share a prefix
+    shingle is compared: where m different texts are all near copies of each
+    other, m * (m - 1) / 2 pairs, as many as there are links.
+    """
+    one = _sets(docs, num, den, width)
+    posts, items = _postings(one)
+    other = posts.select("h", F.col("sig").alias("sig2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"))
+    pairs = posts.join(other, "h").where("sig < sig2").where(_fits("n", "n2", "pos", "pos2", num, den)).select(F.col("sig").alias("a"), F.col("sig2").alias("b"))
+    try:
+        links = _similar(written(pairs.distinct(), "pairs"), items, num, den)
+    finally:
+        items.drop()
+    return one.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "sig"), links
+
+
+def link_counts(docs: DataFrame, num: int = 80, den: int = 100, width: int = 5) -> DataFrame:
+    """doc_id, n_shingles and n_links, the number of other rows that the row is linked with, for every row of ``docs``."""
+    rows, links = linked_classes(docs, num, den, width)
+    size = rows.where("sig IS NOT NULL").groupBy("sig").agg(F.count("*").alias("size"))
+    both = links.union(links.select("b", "a"))
+    more = both.join(size.withColumnRenamed("sig", "b"), "b").groupBy("a").agg(F.sum("size").alias("more"))
+    count = size.join(more, size.sig == more.a, "left").select("sig", (F.col("size") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"))
+    return rows.join(count, "sig", "left").select("doc_id", "n_shingles", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
 def keep_one(docs: DataFrame, num: int = 80, den: int = 100, width: int = 5) -> DataFrame:
     """The rows of ``docs`` without near duplicates: of each component the row with the least doc_id.
 
@@ -257,17 +302,23 @@ def _row_key(docs: DataFrame):
     return F.xxhash64(F.col("doc_id").cast("long"), F.col("text"))
 
 
-def _classes(docs: DataFrame, num: int, den: int, width: int) -> tuple[DataFrame, DataFrame]:
-    """Rows (doc_id, row_key, n, sig) and classes of equal sets (sig, label, low): component and least doc_id."""
+def _sets(docs: DataFrame, num: int, den: int, width: int) -> DataFrame:
+    """Every row's signature and size, and of one row of each set of a chunk its prefix and items in the global order."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _row_key(docs).alias("row_key"))
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    chunks = max(1, math.ceil(size / CHUNK_BYTES))
-    bits = max(2, math.ceil(math.log2(max(1, size / 6 * 4 / BUCKET_BYTES))))
+    grown = 32 * math.isqrt(size)
+    chunks = max(1, math.ceil(size / min(MOST_CHUNK_BYTES, max(CHUNK_BYTES, grown))))
+    bits = max(2, math.ceil(math.log2(max(1, size / 6 * 4 / min(MOST_BUCKET_BYTES, max(BUCKET_BYTES, grown))))))
     dealt = docs.withColumn("chunk", F.pmod("row_key", F.lit(chunks))).repartition(max(chunks, parts(spark)), "chunk")
     asked = dealt.groupBy("chunk").applyInArrow(_requests(width, bits), "bucket long, chunk long, keys binary, counts binary")
     told = asked.groupBy("bucket").applyInArrow(_answer, "chunk long, bucket long, codes binary")
-    one = written(dealt.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(_order(width, bits, num, den), _ONE), "sets")
+    return written(dealt.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(_order(width, bits, num, den), _ONE), "sets")
+
+
+def _classes(docs: DataFrame, num: int, den: int, width: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, row_key, n, sig) and classes of equal sets (sig, label, low): component and least doc_id."""
+    one = _sets(docs, num, den, width)
     classes = one.where("sig IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("low"))
     classes = classes.join(_labels(one, num, den), "sig", "left").select("sig", F.coalesce("label", "sig").alias("label"), "low")
     return one.select("doc_id", "row_key", "n", "sig"), written(classes, "classes")
@@ -285,9 +336,8 @@ class _Bucketed:
         self.spark.sql(f"DROP TABLE {self.name}")
 
 
-def _labels(one: DataFrame, num: int, den: int) -> DataFrame:
-    """(sig, label) of the classes that have links."""
-    spark = one.sparkSession
+def _postings(one: DataFrame) -> tuple[DataFrame, _Bucketed]:
+    """(h, sig, n, pos, rare) of the prefix shingles that several classes hold, and those classes' items."""
     cand = one.where("h IS NOT NULL")
     posts = cand.select("sig", "n", "rare", F.explode(F.arrays_zip("h", "pos")).alias("x")).select(F.col("x.h").alias("h"), F.col("x.pos").alias("pos"), "sig", "n", "rare")
     posts = posts.groupBy("h", "sig").agg(F.max("n").alias("n"), F.max("pos").alias("pos"), F.max("rare").alias("rare"))
@@ -295,7 +345,30 @@ def _labels(one: DataFrame, num: int, den: int) -> DataFrame:
     common = written(common, "common")  # what joins by a possibly hot key is read from files, so that the join can be split
     posts = written(posts.join(common, "h"), "postings")
     items = cand.select("sig", "items").join(posts.select("sig").distinct(), "sig", "left_semi").groupBy("sig").agg(F.any_value("items").alias("items"))
-    items = _Bucketed(items, "sig")
+    return posts, _Bucketed(items, "sig")
+
+
+def _similar(pairs: DataFrame, items: _Bucketed, num: int, den: int) -> DataFrame:
+    """Those of the pairs (a, b) of classes that are linked."""
+    with settings(pairs.sparkSession, spark__sql__execution__arrow__maxRecordsPerBatch=256):
+        probes = written(pairs.select("a").distinct().join(items.rows.select(F.col("sig").alias("a"), F.col("items").alias("probe")), "a"), "probes")
+        both = pairs.join(items.rows.withColumnRenamed("sig", "b"), "b").join(probes, "a")
+        return written(both.select("a", "b", "items", "probe").mapInArrow(_compare(num, den), "a binary, b binary"), "links")
+
+
+def _labels(one: DataFrame, num: int, den: int) -> DataFrame:
+    """(sig, label) of the classes that have links."""
+    posts, items = _postings(one)
+    try:
+        labels = _merged(posts, items, num, den)
+    finally:
+        items.drop()
+    remove(posts)
+    return one.limit(0).selectExpr("sig", "sig AS label") if labels is None else labels
+
+
+def _merged(posts: DataFrame, items: _Bucketed, num: int, den: int) -> DataFrame | None:
+    """(sig, label) of the classes that some round linked; None if there are none."""
     labels = None
     for step in range(STAR_ROUNDS + 1):
         now = posts.withColumn("label", F.col("sig")) if labels is None else written(posts.join(labels, "sig", "left").withColumn("label", F.coalesce("label", "sig")), "labelled")
@@ -313,10 +386,7 @@ def _labels(one: DataFrame, num: int, den: int) -> DataFrame:
         pairs = written(pairs.distinct(), "pairs")
         if not pairs.limit(1).count():
             continue  # leaders may fit nothing where other pairs do
-        with settings(spark, spark__sql__execution__arrow__maxRecordsPerBatch=256):
-            probes = written(pairs.select("a").distinct().join(items.rows.select(F.col("sig").alias("a"), F.col("items").alias("probe")), "a"), "probes")
-            both = pairs.join(items.rows.withColumnRenamed("sig", "b"), "b").join(probes, "a")
-            new = written(both.select("a", "b", "items", "probe").mapInArrow(_compare(num, den), "a binary, b binary"), "links")
+        new = _similar(pairs, items, num, den)
         if new.limit(1).count():
             step_edges = new
             if labels is not None:
@@ -327,6 +397,4 @@ def _labels(one: DataFrame, num: int, den: int) -> DataFrame:
             else:
                 nodes = labels.union(new.selectExpr("a AS sig", "a AS label").union(new.selectExpr("b AS sig", "b AS label")).distinct().join(labels, "sig", "left_anti"))
                 labels = written(nodes.join(merged, nodes.label == merged.at, "left").select("sig", F.coalesce("to", "label").alias("label")), "labels")
-    remove(posts)
-    items.drop()
-    return cand.limit(0).selectExpr("sig", "sig AS label") if labels is None else labels
+    return labels

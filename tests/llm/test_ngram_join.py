@@ -6,7 +6,7 @@ import pytest
 
 from quillmill.llm.components import components
 from quillmill.llm.kernels import Words, distinct, shingles
-from quillmill.llm.ngram_join import PrefixTree, keep_one, near_duplicates
+from quillmill.llm.ngram_join import PrefixTree, keep_one, link_counts, near_duplicates
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -106,3 +106,25 @@ def test_connected_components(spark):
     edges = spark.createDataFrame([(1, 2), (3, 2), (3, 4), (9, 8), (7, 7), (5, None)] + [(20 + i, 21 + i) for i in range(30)], "a int, b int")
     got = {r.node: r.label for r in components(edges).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 4: 1, 8: 8, 9: 8, **{20 + i: 20 for i in range(31)}}
+
+
+def test_one_tree_serves_many_probes():
+    rnd = random.Random(3)
+    sets_ = [np.array(sorted(rnd.sample(range(60), rnd.randrange(1, 25))), np.uint64) for _ in range(120)]
+    tree = PrefixTree(sets_)
+    for probe in sets_[::3]:
+        among = rnd.sample(range(120), 40)
+        want = sorted((i, len({*probe.tolist()} & {*sets_[i].tolist()})) for i in among if 2 * len({*probe.tolist()} & {*sets_[i].tolist()}) >= len({*probe.tolist()} | {*sets_[i].tolist()}))
+        assert sorted(tree.similar(probe, 1, 2, among)) == want
+
+
+def test_no_link_is_lost(spark, odd, none):
+    rows = near_copies(7, 120) + [(200, None), (201, "")]
+    s = [sets(t) for _, t in rows]
+    want = []
+    for i, (d, _) in enumerate(rows):
+        both = [(len(s[i] & x), len(s[i] | x)) for j, x in enumerate(s) if j != i and s[i] and x]
+        want.append((d, len(s[i]), sum(100 * a >= 80 * b for a, b in both)))
+    got = link_counts(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert sorted(map(tuple, got)) == sorted(want) and max(w[2] for w in want) > 10
+    assert link_counts(odd).count() == odd.count() and link_counts(none).count() == 0

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -18,11 +19,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session leaves it unset (as in tests on one machine) is a
-    folder of our own taken and recorded in the session.
+    Only where the session leaves it unset on a single machine (as in tests) is
+    a folder of our own taken and recorded in the session.
     """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         own = tempfile.mkdtemp(prefix="quillmill-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         at = "file://" + own

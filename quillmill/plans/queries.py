@@ -147,14 +147,13 @@ def sentence_split(spark, d):
     return _docs(spark, d).select("doc_id", F.size(s).alias("n"), F.md5(F.array_join(s, "|").cast("binary")).alias("sentences"))
 
 
-_STEPS = ["Step 1: open\nStep 2: close", "1. one\n2. two\n10. ten", "• a b\n- c d\n* e", "plain - not a step 3. here"]
-
-
 @query(
-    "SELECT * FROM (VALUES (0, ['Step 1: open', 'Step 2: close']), (1, ['1. one', '2. two', '10. ten']), (2, ['• a b', '- c d', '* e']), (3, ['plain - not a step 3. here'])) t(id, steps)"
+    rf"""WITH s AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '(?im)^(Step[\s\p{{Z}}]*\p{{Nd}}+[:.\s\p{{Z}}]|\p{{Nd}}+[.)][\s\p{{Z}}]|[•\-*➤][\s\p{{Z}}])', chr(1) || '\1', 'g'), chr(1)), lambda x: {TRIM.format('x')}), lambda x: x <> '') AS ss FROM documents)
+    SELECT doc_id, len(ss)::INTEGER AS n, md5(array_to_string(ss, '|')) AS steps FROM s"""
 )
 def step_split(spark, d):
-    return spark.createDataFrame([(i, s) for i, s in enumerate(_STEPS)], "id int, text string").select("id", T.steps("text").alias("steps"))
+    s = T.steps("text")
+    return _docs(spark, d).select("doc_id", F.size(s).alias("n"), F.md5(F.array_join(s, "|").cast("binary")).alias("steps"))
 
 
 @query(
@@ -202,14 +201,20 @@ def block_segments(spark, d):
     return B.blocks(_docs(spark, d), "doc_id").select("doc_id", "block_no", "block_type", F.md5(F.col("text").cast("binary")).alias("block"))
 
 
-_HEADINGS = ["# Alpha", "## Beta", "### Gamma", "## Delta", "1.2 Echo", "ALL CAPS", "2. Two", "2.1 Sub"]
-_PATHS = ["Alpha", "Alpha > Beta", "Alpha > Beta > Gamma", "Alpha > Delta", "Alpha > 1.2 Echo", "ALL CAPS", "2 Two", "2 Two > 2.1 Sub"]
+_NUMBER = r"regexp_extract(t, '^(\d+(?:\.\d+)*)[.)]?\s+(\S.+)$', {})"
+_HEADS = rf"""SELECT doc_id, line_no, CASE WHEN starts_with(t, '#') THEN length(regexp_extract(t, '^#+')) WHEN {_NUMBER.format(1)} <> '' THEN len(string_split({_NUMBER.format(1)}, '.')) ELSE 1 END AS level,
+    CASE WHEN starts_with(t, '#') THEN {TRIM.format("regexp_replace(t, '^[# ]+', '')")} WHEN {_NUMBER.format(1)} <> '' THEN {_NUMBER.format(1)} || ' ' || {TRIM.format(_NUMBER.format(2))} ELSE t END AS title
+    FROM (SELECT doc_id, line_no, {TRIM.format('line')} AS t FROM ({_KINDS}) WHERE kind = 'Heading')"""
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('d', {i}, '{p}')" for i, p in enumerate(_PATHS)) + ") t(doc, pos, path)")
+@query(
+    f"""WITH h AS ({_HEADS}), e AS (SELECT g.doc_id, g.line_no, g.level, g.title, min(k.line_no) AS until FROM h g LEFT JOIN h k ON k.doc_id = g.doc_id AND k.line_no > g.line_no AND k.level <= g.level AND k.title <> '' WHERE g.title <> '' GROUP BY ALL)
+    SELECT h.doc_id, h.line_no::INTEGER AS line_no, coalesce(string_agg(e.title, ' > ' ORDER BY e.line_no), '') AS path
+    FROM h LEFT JOIN e ON e.doc_id = h.doc_id AND e.line_no <= h.line_no AND (e.until IS NULL OR e.until > h.line_no) GROUP BY h.doc_id, h.line_no"""
+)
 def heading_paths(spark, d):
-    rows = spark.createDataFrame([("d", i, h) for i, h in enumerate(_HEADINGS)], "doc string, pos int, line string")
-    return B.heading_paths(rows, "doc", "pos", "line")
+    lines = B.lines_of(_docs(spark, d), "doc_id").where(B.line_kind("line") == "Heading")
+    return B.heading_paths(lines, "doc_id", "line_no", "line").withColumn("line_no", F.col("line_no").cast("int"))
 
 
 def _pages(spark, d) -> DataFrame:
@@ -351,19 +356,18 @@ def dense_topk(spark, d):
     return R.dense_search(q.where("question_id = 0"), s).withColumn("score", F.round("score", 6))
 
 
-@query(_dense_sql("q.vec_id % 25 = 0", 0.2, 25))
+@query(_dense_sql("q.vec_id % 50 = 0", 0.2, 25))
 def dense_topk_batch(spark, d):
     q, s = _vectors(spark, d)
-    return R.dense_search(q.where("question_id % 25 = 0"), s, RetrievalConfig(dense_min_score=0.2)).withColumn("score", F.round("score", 6))
+    return R.dense_search(q.where("question_id % 50 = 0"), s, RetrievalConfig(dense_min_score=0.2)).withColumn("score", F.round("score", 6))
 
 
-#: Questions with their keywords: the first user turn of every conversation, its content words.
+#: Questions with their keywords: every user turn of every conversation, its content words.
 def _questions(spark, d) -> DataFrame:
-    turns = _turns(spark, d).groupBy("conv_id").agg(F.min_by("text", "turn").alias("text"))
-    return turns.select(F.col("conv_id").alias("question_id"), "text", F.slice(K.content_words("text"), 1, 15).alias("keywords"))
+    return _turns(spark, d).select(F.concat_ws("-", "conv_id", "turn").alias("question_id"), "conv_id", "text", F.slice(K.content_words("text"), 1, 15).alias("keywords"))
 
 
-_Q_SQL = f"SELECT conv_id AS question_id, list_filter(w, lambda x, i: list_position(w, x) = i)[1:15] AS keywords FROM (SELECT conv_id, {_WORDS_SQL} AS w FROM (SELECT conv_id, min_by(text, turn) AS text FROM ({_TURNS}) GROUP BY conv_id))"
+_Q_SQL = f"SELECT conv_id || '-' || turn AS question_id, conv_id, list_filter(w, lambda x, i: list_position(w, x) = i)[1:15] AS keywords FROM (SELECT conv_id, turn, {_WORDS_SQL} AS w FROM ({_TURNS}))"
 _TOKENS = r"list_distinct(list_filter(string_split_regex(lower({}), '[^\p{{L}}\p{{Mn}}\p{{Nd}}\p{{Pc}}]+'), lambda w: length(w) BETWEEN 2 AND 40))"
 _SPARSE = f"""q AS ({_Q_SQL}),
     t AS (SELECT question_id, list_distinct(list_filter(list_transform(keywords, lambda k: trim(lower(k))), lambda k: length(k) >= 2)) AS plain FROM q),
@@ -388,8 +392,8 @@ def _store(spark, d) -> DataFrame:
 
 
 def _asked(spark, d) -> DataFrame:
-    e = _table(spark, d, "embeddings").select(F.col("vec_id").alias("question_id"), F.col("embedding").alias("vector"))
-    return _questions(spark, d).join(e, "question_id")
+    e = _table(spark, d, "embeddings").select(F.col("vec_id").alias("conv_id"), F.col("embedding").alias("vector"))
+    return _questions(spark, d).join(e, "conv_id", "left")
 
 
 @query(f"WITH {_SPARSE} SELECT question_id, point_id, round(score::DOUBLE, 6) AS score, rank FROM sparse")
@@ -398,9 +402,10 @@ def sparse_rank(spark, d):
 
 
 _LOOSE = RetrievalConfig(dense_min_score=0.2)
-_FUSED = f"""{_SPARSE}, sp AS (SELECT * FROM sparse WHERE question_id IN (SELECT vec_id FROM embeddings)),
-    de AS (SELECT * FROM (SELECT q.vec_id AS question_id, s.vec_id AS point_id, (row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS} DESC, s.vec_id))::INTEGER AS rank
-        FROM embeddings q, embeddings s WHERE q.vec_id IN (SELECT question_id FROM q) AND s.vec_id IN (SELECT doc_id FROM documents) AND {_COS} >= 0.2) WHERE rank <= 25),
+_FUSED = f"""{_SPARSE}, sp AS (SELECT * FROM sparse),
+    near AS (SELECT * FROM (SELECT q.vec_id AS conv_id, s.vec_id AS point_id, (row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS} DESC, s.vec_id))::INTEGER AS rank
+        FROM embeddings q, embeddings s WHERE q.vec_id IN (SELECT conv_id FROM q) AND s.vec_id IN (SELECT doc_id FROM documents) AND {_COS} >= 0.2) WHERE rank <= 25),
+    de AS (SELECT question_id, point_id, rank FROM q JOIN near USING (conv_id)),
     fu AS (SELECT coalesce(de.question_id, sp.question_id) AS question_id, coalesce(de.point_id, sp.point_id) AS point_id, de.rank AS dense_rank, sp.rank AS sparse_rank,
         coalesce(1.0::DOUBLE / (60 + de.rank), 0) + coalesce(1.0::DOUBLE / (60 + sp.rank), 0) AS score FROM de FULL JOIN sp ON de.question_id = sp.question_id AND de.point_id = sp.point_id),
     fused AS (SELECT *, (row_number() OVER (PARTITION BY question_id ORDER BY score DESC, dense_rank NULLS LAST, sparse_rank NULLS LAST))::INTEGER AS rn FROM fu)"""
@@ -566,9 +571,9 @@ def hybrid_retrieve(spark, d):
 
 @query()
 def ask_answers(spark, d):
-    """All user questions of the first turns, asked of a store that holds every document."""
+    """All user turns, asked of a store that holds every document."""
     store = ChunkStore(spark, f"{_shared(spark)}/store-{uuid.uuid4().hex}", buckets=4)
     files = _docs(spark, d).select(_name().alias("name"), F.col("text").cast("binary").alias("content"))
     ingest_plan.ingest(store, files, "tenant", created_at=F.timestamp_seconds(F.lit(0)))
-    asked = _questions(spark, d).select("question_id", F.col("text").alias("question"), F.when(F.col("question_id") % 5 == 0, "other").otherwise("tenant").alias("tenant_id"))
+    asked = _questions(spark, d).select("question_id", F.col("text").alias("question"), F.when(F.col("conv_id") % 5 == 0, "other").otherwise("tenant").alias("tenant_id"))
     return answer_events(ask_plan.ask(store, asked))

@@ -49,6 +49,9 @@ def test_language_fold_estimate(spark):
 def test_sentences_steps_truncation(spark):
     assert values(spark, T.sentences("x"), ["One. Two!  Three? four"]) == [["One.", "Two!", "Three?", "four"]]
     assert values(spark, T.steps("x"), ["1. a\n10. foo - bar"]) == [["1. a", "10. foo - bar"]]
+    lists = ["Step 1: open\nStep 2: close", "1. one\n2. two\n10. ten", "• a b\n- c d\n* e", "plain - not a step 3. here"]
+    want = [["Step 1: open", "Step 2: close"], ["1. one", "2. two", "10. ten"], ["• a b", "- c d", "* e"], ["plain - not a step 3. here"]]
+    assert values(spark, T.steps("x"), lists) == want
     assert values(spark, T.steps("x", compat=True), ["10. foo"]) == [["1", "0. foo"]]
     cut = lambda n: T.truncate_at_sentence("x", F.lit(n))
     assert values(spark, cut(12), ["Aaaa bbbb. Cccc dddd eeee"]) == ["Aaaa bbbb."]

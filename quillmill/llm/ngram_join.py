@@ -320,8 +320,9 @@ def _classes(docs: DataFrame, num: int, den: int, width: int) -> tuple[DataFrame
     """Rows (doc_id, row_key, n, sig) and classes of equal sets (sig, label, low): component and least doc_id."""
     one = _sets(docs, num, den, width)
     classes = one.where("sig IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("low"))
-    classes = classes.join(_labels(one, num, den), "sig", "left").select("sig", F.coalesce("label", "sig").alias("label"), "low")
-    return one.select("doc_id", "row_key", "n", "sig"), written(classes, "classes")
+    labels = _labels(one, num, den)
+    classes = written(classes.join(labels, "sig", "left").select("sig", F.coalesce("label", "sig").alias("label"), "low"), "classes")
+    return one.select("doc_id", "row_key", "n", "sig"), classes
 
 
 class _Bucketed:
@@ -340,10 +341,11 @@ def _postings(one: DataFrame) -> tuple[DataFrame, _Bucketed]:
     """(h, sig, n, pos, rare) of the prefix shingles that several classes hold, and those classes' items."""
     cand = one.where("h IS NOT NULL")
     posts = cand.select("sig", "n", "rare", F.explode(F.arrays_zip("h", "pos")).alias("x")).select(F.col("x.h").alias("h"), F.col("x.pos").alias("pos"), "sig", "n", "rare")
-    posts = posts.groupBy("h", "sig").agg(F.max("n").alias("n"), F.max("pos").alias("pos"), F.max("rare").alias("rare"))
-    common = posts.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h")
+    found = posts.groupBy("h", "sig").agg(F.max("n").alias("n"), F.max("pos").alias("pos"), F.max("rare").alias("rare"))
+    common = found.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h")
     common = written(common, "common")  # what joins by a possibly hot key is read from files, so that the join can be split
-    posts = written(posts.join(common, "h"), "postings")
+    posts = written(found.join(common, "h"), "postings")
+    remove(common)
     items = cand.select("sig", "items").join(posts.select("sig").distinct(), "sig", "left_semi").groupBy("sig").agg(F.any_value("items").alias("items"))
     return posts, _Bucketed(items, "sig")
 
@@ -353,7 +355,9 @@ def _similar(pairs: DataFrame, items: _Bucketed, num: int, den: int) -> DataFram
     with settings(pairs.sparkSession, spark__sql__execution__arrow__maxRecordsPerBatch=256):
         probes = written(pairs.select("a").distinct().join(items.rows.select(F.col("sig").alias("a"), F.col("items").alias("probe")), "a"), "probes")
         both = pairs.join(items.rows.withColumnRenamed("sig", "b"), "b").join(probes, "a")
-        return written(both.select("a", "b", "items", "probe").mapInArrow(_compare(num, den), "a binary, b binary"), "links")
+        links = written(both.select("a", "b", "items", "probe").mapInArrow(_compare(num, den), "a binary, b binary"), "links")
+    remove(probes)
+    return links
 
 
 def _labels(one: DataFrame, num: int, den: int) -> DataFrame:
@@ -371,22 +375,27 @@ def _merged(posts: DataFrame, items: _Bucketed, num: int, den: int) -> DataFrame
     """(sig, label) of the classes that some round linked; None if there are none."""
     labels = None
     for step in range(STAR_ROUNDS + 1):
+        done = []  # tables that no later step reads
         now = posts.withColumn("label", F.col("sig")) if labels is None else written(posts.join(labels, "sig", "left").withColumn("label", F.coalesce("label", "sig")), "labelled")
         if step < STAR_ROUNDS:
             first = F.struct("rare", "sig") if step == 0 else F.struct(F.xxhash64("sig", F.lit(step)), F.col("sig"))
             lead = now.groupBy("h").agg(F.min_by(F.struct("sig", "n", "pos", "label"), first).alias("lead"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("h", "lead")
-            lead = written(lead, "leaders")
+            done.append(lead := written(lead, "leaders"))
             pairs = now.join(lead, "h").where("label <> lead.label").where(_fits("n", "lead.n", "pos", "lead.pos", num, den)).select(F.col("lead.sig").alias("a"), F.col("sig").alias("b"))
         else:
             main = now.groupBy("h", "label").agg(F.count("*").alias("k")).groupBy("h").agg(F.max_by("label", F.struct("k", "label")).alias("main"), F.count("*").alias("m")).where("m > 1").select("h", "main")
-            main = written(main, "main")
+            done.append(main := written(main, "main"))
             rest = now.join(main, "h").where("label <> main").select("h", "main", F.col("sig").alias("sig2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("label").alias("label2"))
-            rest = written(rest, "rest")
+            done.append(rest := written(rest, "rest"))
             pairs = now.join(rest, "h").where("label <> label2 AND (label = main OR sig < sig2)").where(_fits("n", "n2", "pos", "pos2", num, den)).select(F.col("sig2").alias("a"), F.col("sig").alias("b"))
         pairs = written(pairs.distinct(), "pairs")
+        for old in [*done, *([] if labels is None else [now])]:
+            remove(old)
         if not pairs.limit(1).count():
+            remove(pairs)
             continue  # leaders may fit nothing where other pairs do
         new = _similar(pairs, items, num, den)
+        remove(pairs)
         if new.limit(1).count():
             step_edges = new
             if labels is not None:
@@ -396,5 +405,9 @@ def _merged(posts: DataFrame, items: _Bucketed, num: int, den: int) -> DataFrame
                 labels = merged.withColumnsRenamed({"at": "sig", "to": "label"})
             else:
                 nodes = labels.union(new.selectExpr("a AS sig", "a AS label").union(new.selectExpr("b AS sig", "b AS label")).distinct().join(labels, "sig", "left_anti"))
-                labels = written(nodes.join(merged, nodes.label == merged.at, "left").select("sig", F.coalesce("to", "label").alias("label")), "labels")
+                after = written(nodes.join(merged, nodes.label == merged.at, "left").select("sig", F.coalesce("to", "label").alias("label")), "labels")
+                remove(labels)
+                remove(merged)
+                labels = after
+        remove(new)
     return labels

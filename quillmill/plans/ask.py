@@ -31,10 +31,9 @@ def ask(
     chunks = retrieve(good, store.chunks(), retrieval)
     # at most ``max_results`` chunks a question
     ranked = chunks.groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("rn", "doc_name", "page", "section_title", "text", "score"))).alias("chunks"))
-    context = build_context(chunks, retrieval).select("question_id", "context")
-    full = good.select("question_id", "question").join(ranked, "question_id", "left").join(context, "question_id", "left")
-    full = full.withColumn("footer", A.sources_footer("chunks"))
+    full = good.select("question_id", "question").join(ranked, "question_id", "left").withColumn("footer", A.sources_footer("chunks"))
     if generation.mode == "ContextOnly":
+        full = full.join(build_context(chunks, retrieval).select("question_id", "context"), "question_id", "left")
         full = full.withColumn("response", A.context_only(F.coalesce("context", F.lit("")), F.col("footer")))
     else:
         full = full.withColumn("body", F.array_join(generate(A.prompt("question", A.prompt_context("chunks")), generator or ExtractiveGenerator()), ""))

@@ -546,7 +546,7 @@ def _shared(spark: SparkSession) -> str:
 @query()
 def tenant_lifecycle(spark, d):
     """Create, ingest, ingest anew, delete and list, in a store of its own in the shared folder."""
-    store = ChunkStore(spark, f"{_shared(spark)}/store-{uuid.uuid4().hex}", buckets=4)
+    store = ChunkStore(spark, f"{_shared(spark)}/store-{uuid.uuid4().hex}")
     files = _docs(spark, d).select(_name().alias("name"), F.col("text").cast("binary").alias("content"))
     when = F.timestamp_seconds(F.lit(0))
     for _ in range(2):
@@ -572,7 +572,7 @@ def hybrid_retrieve(spark, d):
 @query()
 def ask_answers(spark, d):
     """All user turns, asked of a store that holds every document."""
-    store = ChunkStore(spark, f"{_shared(spark)}/store-{uuid.uuid4().hex}", buckets=4)
+    store = ChunkStore(spark, f"{_shared(spark)}/store-{uuid.uuid4().hex}")
     files = _docs(spark, d).select(_name().alias("name"), F.col("text").cast("binary").alias("content"))
     ingest_plan.ingest(store, files, "tenant", created_at=F.timestamp_seconds(F.lit(0)))
     asked = _questions(spark, d).select("question_id", F.col("text").alias("question"), F.when(F.col("conv_id") % 5 == 0, "other").otherwise("tenant").alias("tenant_id"))

@@ -14,21 +14,24 @@ import shutil
 import tempfile
 import uuid
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import RetrievalConfig
+from ..config import ChunkConfig, RetrievalConfig
 from ..functions import answers as A
 from ..functions import identity as I
 from ..functions import keywords as K
 from ..functions import text as T
+from ..functions.tokens import EstimateCounter
 from ..operators import blocks as B
 from ..operators import retrieve as R
 from ..operators import stats as S
+from ..operators.packer import Packer
 from ..sources.files import extract
 from ..sources.providers import ExtractiveGenerator, HashingEmbedder, embed, generate
 from ..sources.store import ChunkStore
-from ..streaming.events import answer_events, plain_frames
+from ..streaming.events import answer_events, plain_frames, split_stream
 from . import ask as ask_plan
 from . import ingest as ingest_plan
 
@@ -115,9 +118,20 @@ def clean_text(spark, d):
     return _docs(spark, d).select("doc_id", T.clean_text("text", repair=False).alias("c")).select("doc_id", F.md5(F.col("c").cast("binary")).alias("cleaned"), F.length("c").cast("long").alias("n"))
 
 
-@query()
+#: Bytes that code page 1252 shows as another character than Latin-1 does.
+_SHOWN = {chr(b): bytes([b]).decode("cp1252") for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)}
+_BROKEN = r"length(regexp_replace(text, '[^\x{80}-\x{17F}\x{2000}-\x{2FFF}]', '', 'g'))"  # characters whose first byte shows as a suspect one
+
+
+@query(
+    rf"""SELECT doc_id, restored, CASE WHEN restored THEN md5(text) END AS repaired FROM (
+    SELECT doc_id, text, NOT regexp_matches(text, '[^\x00-\x7F]') OR length(regexp_replace(text, '[^ÃÄÅÂâ\x{{FFFD}}]', '', 'g')) < {_BROKEN} AS restored FROM documents)"""
+)
 def mojibake_repair(spark, d):
-    return _docs(spark, d).select("doc_id", F.md5(T.repair_mojibake("text").cast("binary")).alias("repaired"), (T.repair_mojibake("text") != F.col("text")).alias("changed"))
+    """Every text read as code page 1252 and repaired; texts with as many suspect characters of their own stay broken."""
+    shown = F.translate(F.decode(F.encode("text", "UTF-8"), "ISO-8859-1"), "".join(_SHOWN), "".join(_SHOWN.values()))
+    r = _docs(spark, d).select("doc_id", "text", T.repair_mojibake(shown).alias("r")).withColumn("restored", F.col("r") == F.col("text"))
+    return r.select("doc_id", "restored", F.when(F.col("restored"), F.md5(F.col("r").cast("binary"))).alias("repaired"))
 
 
 _LINES = "SELECT doc_id, (unnest(range(len(ls))))::INTEGER AS line_no, unnest(ls) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)"
@@ -217,9 +231,31 @@ def heading_paths(spark, d):
     return B.heading_paths(lines, "doc_id", "line_no", "line").withColumn("line_no", F.col("line_no").cast("int"))
 
 
-def _pages(spark, d) -> DataFrame:
+@query(f"SELECT doc_id, line_no, CASE WHEN contains(path, ' > ') THEN regexp_replace(path, ' > [^>]*$', '') ELSE '' END AS parent FROM ({SQL['heading_paths']}) WHERE path NOT LIKE '%>%>%' OR path LIKE '% > % > %'")
+def parent_paths(spark, d):
+    return heading_paths(spark, d).select("doc_id", "line_no", T.parent_path("path").alias("parent"))
+
+
+_TAIL = rf"""WITH a AS (SELECT doc_id, text, length(text) AS n, floor(length(text) / 3.5)::INTEGER AS total FROM documents),
+    b AS (SELECT *, right(text, least(floor(50 * (n::DOUBLE / total) * 1.2), n - 1)::BIGINT) AS last FROM a WHERE total > 50),
+    c AS (SELECT *, length(regexp_extract(last, '^[^.!?]*')) AS e, {TRIM.format("regexp_replace(last, '^[^.!?]*[.!?]', '')")} AS whole, {TRIM.format("regexp_replace(last, '^[^ ]* ', '')")} AS rest FROM b)
+    SELECT doc_id, coalesce(CASE WHEN e < length(last) - 10 AND floor(length(whole) / 3.5)::INTEGER <= 65 THEN whole ELSE rest END, '') AS tail FROM a LEFT JOIN c USING (doc_id)"""
+
+
+@query(_TAIL)
+def overlap_tail(spark, d):
+    """What the chunk after each whole text would repeat of it."""
+
+    @F.pandas_udf("string")
+    def tail(texts: pd.Series) -> pd.Series:
+        return texts.map(Packer(ChunkConfig(), EstimateCounter()).tail)
+
+    return _docs(spark, d).where("text IS NOT NULL").select("doc_id", tail("text").alias("tail"))
+
+
+def _pages(spark, d, own=None) -> DataFrame:
     page = F.struct(F.lit(1).alias("page_number"), F.col("text").alias("text"))
-    return _docs(spark, d).select(F.col("doc_id").cast("string").alias("doc_id"), F.array(page).alias("pages"))
+    return _docs(spark, d).select((F.col("doc_id").cast("string") if own is None else own).alias("doc_id"), F.array(page).alias("pages"))
 
 
 @query()
@@ -228,6 +264,19 @@ def chunk_pack(spark, d):
     return c.select("doc_id", "chunk_index", "section_title", "page", "estimated_tokens", "has_overlap", F.md5(F.col("text").cast("binary")).alias("chunk"))
 
 
+@query(rf"SELECT DISTINCT doc_id::VARCHAR AS doc_id, md5(word) AS word FROM (SELECT doc_id, unnest(string_split_regex(cleaned, '[\s\p{{Z}}\x{{85}}\x0b]+')) AS word FROM ({_CLEANED})) WHERE word <> ''")
+def chunk_words(spark, d):
+    """The words of every document's clean text that its chunks hold: all of them. (Slices of an overlong sentence may begin within a word.)"""
+    c = ingest_plan.chunk_documents(_pages(spark, d)).withColumn("text", F.regexp_replace("text", r"^\[Section: [^\]]*\] > ", ""))
+    own = _docs(spark, d).select(F.col("doc_id").cast("string").alias("doc_id"), T.clean_text("text", repair=False).alias("text"))
+
+    def words(of):
+        one = of.select("doc_id", F.explode(F.array_distinct(F.split("text", r"(?U)\s+", -1))).alias("word")).where("word <> ''")
+        return one.select("doc_id", F.md5(F.col("word").cast("binary")).alias("word")).distinct()
+
+    return words(c).join(words(own), ["doc_id", "word"], "left_semi")
+
+
 #: Chunks of fixed size, for the aggregates over chunks.
 _FIXED = "SELECT doc_id, (i)::INTEGER AS chunk_index, substr(text, i * 400 + 1, 400) AS text, floor(length(substr(text, i * 400 + 1, 400)) / 3.5)::INTEGER AS estimated_tokens, i > 0 AS has_overlap, 'S' || (i // 2) AS section_title FROM (SELECT doc_id, text, unnest(range(greatest(1, (length(text) + 399) // 400))) AS i FROM documents)"
 
@@ -490,16 +539,80 @@ def stream_frames(spark, d):
     return c.select("conv_id", "turn", F.array_join(plain_frames(F.array("text")), "").alias("frames"))
 
 
-@query()
+_PROMPT_END = "chr(10) || chr(10) || 'CONTEXT:' || chr(10) || 'c' || turn || chr(10) || chr(10) || 'QUESTION: ' || text || chr(10) || chr(10) || 'ANSWER:'"
+
+
+@query(f"SELECT conv_id, turn, md5({_literal([A.SYSTEM_PROMPT])[1:-1]} || {_PROMPT_END}) AS prompt FROM ({_TURNS})")
+def prompt_text(spark, d):
+    p = A.prompt("text", F.concat(F.lit("c"), F.col("turn").cast("string")))
+    return _turns(spark, d).select("conv_id", "turn", F.md5(p.cast("binary")).alias("prompt"))
+
+
+@query("SELECT doc_id, md5(text || chr(10) || chr(10) || chr(10) || '---' || chr(10) || '📚 **Sources:**' || chr(10) || '[1] ' || source || ' - Page 3') AS response FROM documents WHERE text IS NOT NULL")
+def context_only_answer(spark, d):
+    c = F.struct(F.col("source").alias("doc_name"), F.lit(3).alias("page"), F.lit("").alias("section_title"), "text")
+    response = A.context_only(F.col("text"), A.sources_footer(F.array(c)))
+    return _docs(spark, d).where("text IS NOT NULL").select("doc_id", F.md5(response.cast("binary")).alias("response"))
+
+
+@query("SELECT doc_id, doc_id % 3 = 0 AS lacking FROM documents WHERE text IS NOT NULL")
+def lacking_answers(spark, d):
+    """Answers that say, amid other text and in capitals or not, that the documents do not suffice."""
+    said = F.when(F.col("doc_id") % 3 == 0, F.when(F.col("doc_id") % 2 == 0, F.lit(A.INSUFFICIENT.upper())).otherwise(F.lit(A.INSUFFICIENT))).otherwise(F.lit(A.INSUFFICIENT[:-1]))
+    return _docs(spark, d).where("text IS NOT NULL").select("doc_id", A.lacks_information(F.concat("text", said, "text")).alias("lacking"))
+
+
+@query("SELECT conv_id, turn, md5(text || ' end') AS answer FROM conversations WHERE text IS NOT NULL")
+def stream_split(spark, d):
+    """Answers that come word by word, without the list of sources at their end."""
+
+    @F.pandas_udf("string")
+    def shown(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: "".join(split_stream([*re.split(r"(?<= )", t), " end\n\n---\n📚 **Sources:**\n[1] a", "\n[2] b"])))
+
+    c = _table(spark, d, "conversations").where("text IS NOT NULL")
+    return c.select("conv_id", "turn", F.md5(shown("text").cast("binary")).alias("answer"))
+
+
+_DONE = """'event: done' || chr(10) || 'data: {"' || CASE WHEN turn % 3 = 0 THEN 'success' ELSE 'fromCache' END || '":false}' || chr(10) || chr(10)"""
+
+
+@query(
+    f"""SELECT conv_id, turn, 'event: ' || CASE WHEN turn % 3 = 0 THEN 'error' ELSE 'chunk' END || chr(10) || 'data: {{"' || CASE WHEN turn % 3 = 0 THEN 'error' ELSE 'text' END || '":' || to_json(text) || '}}' || chr(10) || chr(10)
+    || CASE WHEN turn % 3 = 2 THEN 'event: sources' || chr(10) || 'data: {{"sources":[{{"doc_name":"' || role || '","score":0.0}}]}}' || chr(10) || chr(10) ELSE '' END || {_DONE} AS events FROM conversations WHERE text IS NOT NULL"""
+)
+def typed_events(spark, d):
+    c = _table(spark, d, "conversations").where("text IS NOT NULL").withColumn("bad", F.col("turn") % 3 == 0)
+    kind = "array<struct<doc_name:string,section_title:string,score:float>>"
+    one = F.array(F.struct(F.col("role").alias("doc_name"), F.lit(None).cast("string").alias("section_title"), F.lit(0.0).cast("float").alias("score")))
+    a = c.select(
+        F.struct("conv_id", "turn").alias("question_id"), F.when(F.col("bad"), 404).otherwise(200).alias("status"), F.when(~F.col("bad"), F.col("text")).alias("answer"),
+        F.when(F.col("turn") % 3 == 2, one).otherwise(F.array().cast(kind)).alias("sources"), F.when(F.col("bad"), F.col("text")).alias("error"),
+    )
+    return answer_events(a).select("question_id.conv_id", "question_id.turn", F.array_join("events", "").alias("events"))
+
+
+@query(
+    f"""SELECT conv_id, turn, CASE WHEN conv_id % 2 = 0 THEN array_to_string(list_filter(string_split_regex(text, '[\\s\\p{{Z}}\\x{{85}}\\x{{1c}}-\\x{{1f}}\\x0b]+'), lambda w: w <> '')[1:40], ' ')
+    ELSE 'some words of context' END AS answer FROM ({_TURNS})"""
+)
 def stub_generation(spark, d):
-    c = _turns(spark, d).withColumn("p", A.prompt("text", F.lit("[1] (Source: a)\nsome words of context")))
+    """The local generator answers with the first 40 words of its context: the turn itself, or a fixed one."""
+    context = F.when(F.col("conv_id") % 2 == 0, F.concat(F.lit("[1] (Source: a)\n"), "text")).otherwise(F.lit("[1] (Source: a)\nsome words of context"))
+    c = _turns(spark, d).withColumn("p", A.prompt("text", context))
     return c.select("conv_id", "turn", F.array_join(generate("p", ExtractiveGenerator()), "").alias("answer"))
 
 
-@query()
+@query(
+    r"""WITH w AS (SELECT doc_id, unnest(list_filter(string_split_regex(lower(text), '[\s\p{Z}\x{85}\x{1c}-\x{1f}\x0b]+'), lambda x: x <> '')) AS word FROM documents),
+    h AS (SELECT doc_id, ('0x' || substr(md5(word), 1, 16))::UBIGINT AS h FROM w),
+    s AS (SELECT doc_id, (h % 64)::INTEGER AS "at", sum(CASE WHEN h >= 9223372036854775808 THEN 1 ELSE -1 END)::DOUBLE AS s FROM h GROUP BY ALL)
+    SELECT doc_id, "at", round(s / sqrt(sum(s * s) OVER (PARTITION BY doc_id)), 4) AS value FROM s QUALIFY s <> 0"""
+)
 def text_embedding(spark, d):
-    v = embed("text", HashingEmbedder(64))
-    return _docs(spark, d).select("doc_id", F.round(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x), 4).alias("norm"), F.size(v).alias("size"))
+    """The places of each text's vector that are not zero."""
+    v = _docs(spark, d).select("doc_id", F.posexplode(embed("text", HashingEmbedder(64))).alias("at", "value"))
+    return v.where("value <> 0").withColumn("value", F.round(F.col("value").cast("double"), 4))
 
 
 # ---- store and whole plans ----
@@ -531,6 +644,25 @@ def extract_files(spark, d):
     return out.select("doc_name", "source_type", F.col("error").isNull().alias("ok"), F.length(F.get(F.col("pages"), F.lit(0))["text"]).cast("long").alias("chars"))
 
 
+_ROW = f"substr(sha256({TRIM.format(f'lower({_NAME})')}), 1, 16)"
+
+
+@query(
+    rf"""SELECT d, chunk_index, ({_POINT})::VARCHAR AS point_id, name, language, upper(substr(sha256(text), 1, 32)) AS content_hash, md5({FOLD.format('text')}) AS folded, section_title, has_overlap, 8 AS vector_size
+    FROM (SELECT *, sha256(d || ':' || chunk_index) AS h, CASE WHEN NOT regexp_matches(text, '[^\s\p{{Z}}]') THEN 'unknown' WHEN regexp_matches(text, '[çğıöşüÇĞİÖŞÜ]') THEN 'tr' ELSE 'en' END AS language
+        FROM (SELECT upper({_ROW}) AS d, {_NAME} AS name, c.* EXCLUDE (doc_id) FROM documents JOIN ({_FIXED}) c USING (doc_id)))"""
+)
+def chunk_payload(spark, d):
+    """Rows of the store from chunks of fixed size."""
+    own = I.document_id(_name())
+    docs = _docs(spark, d).select(F.col("source").alias("tenant_id"), own.alias("doc_id"), _name().alias("doc_name"), F.lit("txt").alias("source_type"))
+    rows = ingest_plan.payload(_fixed(spark, d).withColumns({"doc_id": own, "page": F.lit(1)}), docs, F.timestamp_seconds(F.lit(0)), HashingEmbedder(8))
+    return rows.select(
+        F.col("doc_id").alias("d"), "chunk_index", F.col("point_id").cast("string").alias("point_id"), F.col("doc_name").alias("name"), "language", "content_hash",
+        F.md5(F.col("text_normalized").cast("binary")).alias("folded"), "section_title", "has_overlap", F.size("vector").alias("vector_size"),
+    )
+
+
 def _shared(spark: SparkSession) -> str:
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
@@ -543,17 +675,28 @@ def _shared(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-@query()
+@query(
+    rf"""SELECT 'tenant' AS tenant_id, id AS doc_id, name AS doc_name, true AS same FROM (SELECT upper({_ROW}) AS id, {_NAME} AS name, length(cleaned) AS n, min(upper({_ROW})) OVER () AS gone FROM ({_CLEANED}))
+    WHERE id <> gone AND n > 0"""
+)
 def tenant_lifecycle(spark, d):
-    """Create, ingest, ingest anew, delete and list, in a store of its own in the shared folder."""
+    """Two tenants created; one ingests all documents, twice, deletes one, and lists its documents; the other is dropped.
+
+    ``same``: the document has as many chunks as the packer makes of it.
+    """
     store = ChunkStore(spark, f"{_shared(spark)}/store-{uuid.uuid4().hex}")
     files = _docs(spark, d).select(_name().alias("name"), F.col("text").cast("binary").alias("content"))
     when = F.timestamp_seconds(F.lit(0))
     for _ in range(2):
         ingest_plan.ingest(store, files, "tenant", created_at=when)
+    store.create("other")
+    store.upsert(store.chunks("tenant").withColumn("tenant_id", F.lit("other")))
     gone = files.agg(F.min(I.document_id("name"))).first()[0]
     store.delete("tenant", gone)
-    return S.tenant_documents(store.chunks("tenant"))
+    store.drop("other")
+    packed = ingest_plan.chunk_documents(_pages(spark, d, I.document_id(_name()))).groupBy("doc_id").agg(F.count("*").alias("n"))
+    listed = S.tenant_documents(store.chunks()).join(store.tenants(), "tenant_id", "left_semi")
+    return listed.join(packed, "doc_id", "left").select("tenant_id", "doc_id", "doc_name", F.col("chunk_count").eqNullSafe(F.col("n")).alias("same"))
 
 
 @query(

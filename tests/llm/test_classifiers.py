@@ -1,8 +1,10 @@
 """Toxicity, decontamination, personal data and the pipeline."""
 
 import hashlib
+import math
 import random
 import re
+import zlib
 
 import numpy as np
 from hypothesis import given, settings
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 from quillmill.llm import pii
 from quillmill.llm.decontamination import ANSWER, BLOCK, LCS, LCS_WITH_ANSWER, build_index, clean, confirm, contaminated, lcs_length
 from quillmill.llm.kernels import Words
-from quillmill.llm.toxicity import FUZZY_FROM, StemAutomaton, choose_stems, features, score_documents, train
+from quillmill.llm.toxicity import ADDRESS, FUZZY_FROM, SPEECH, StemAutomaton, choose_stems, features, score_documents, train
 
 # ---- toxicity ----
 
@@ -77,6 +79,45 @@ def test_held_out_labels_are_found(spark):
     assert len(held) > 100 and all(r.predicted == truth[r.doc_id] == (r.score >= 0.5) for r in held)
 
 
+def test_scores_as_by_distances_to_every_stem(spark):
+    """Every word against every stem by edit distance, its context counted anew; the model's weights on what is found."""
+    rows, labels = corpus(300)
+    rnd = random.Random(5)
+    spice = ["you", "YOUR", "said", '"zzgrubs"', "«kraxl»", "zzgrxb", "kraxxl", "zgrub", '"open', 'close"', "idiot", "idi0ts", "wrote", "scumm,", "…", "''"]
+    rows += [(1000 + i, " ".join(w if rnd.random() > 0.15 else rnd.choice(spice) for w in t.split())) for i, t in rows] + [(5000, None), (5001, ""), (5002, '"idiot"'), (5003, "idiot " * 3000)]
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = train(docs, marks)
+    assert {"zzgrub", "kraxl"} <= {s[:6] for s in model.stems} | {s[:5] for s in model.stems}
+    edge, marked = ".,;:!?\"'()[]{}<>«»„“”‚‘’`…*_-–—/\\|~#", "\"'«»„“”‚‘’`"
+    least: dict = {}
+
+    def errors(word):
+        if word not in least:
+            reach = [(distance(word[:k], s), len(s)) for s in model.stems for k in range(len(word) + 1) if abs(k - len(s)) < 2]
+            least[word] = min((e for e, n in reach if e == 0 or (e == 1 and n >= FUZZY_FROM)), default=None)
+        return least[word]
+
+    def score(text):
+        words = (text or "").lower().split()
+        n = [0] * 6
+        for i, raw in enumerate(words):
+            e = errors(raw.strip(edge))
+            if e is None:
+                continue
+            around = words[max(0, i - 4) : i] + words[i + 1 : i + 5]
+            bare = {w.strip(edge) for w in around}
+            quoted = any(c in marked for c in raw) or (any(w[0] in marked for w in around[:4]) and any(w[-1] in marked for w in around[-4:])) or bool(bare & SPEECH)
+            n[3 * e + (2 if quoted else 0 if bare & ADDRESS else 1)] += 1
+        x = [math.log(1 + c) for c in n] + [math.log(1 + 100 * sum(n) / len(words)) if words else 0]
+        return 1 / (1 + math.exp(-max(-40, min(40, model.bias + sum(a * b for a, b in zip(model.weights, x, strict=True))))))
+
+    texts = dict(rows)
+    got = score_documents(docs, marks).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert abs(r.score - score(texts[r.doc_id])) < 1e-9 and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+
+
 def test_odd_documents_and_labels(odd, none, spark):
     labels = spark.createDataFrame([(1, None), (None, 1), (99, 1), (1, 0), (1, 0), (2, 7)], "doc_id long, toxic int")
     got = score_documents(odd, labels).collect()
@@ -314,3 +355,87 @@ def test_pipeline_stages(spark, odd, none, tmp_path):
             assert sorted(stage(spark, docs, at).columns) == sorted(docs.columns)
         ids = {r.doc_id for r in p.run(spark, at).collect()}
         assert ids == ({3, 4, 5, 6, 8, 10, 11, None} if name == "some" else set())
+
+
+def test_pipeline_as_by_brute_force(spark, tmp_path):
+    """Each stage's rows from its own input: labels, all pairs, every item's subsequence, plain patterns, the tokenizer file."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline as p
+
+    rnd = random.Random(9)
+    word = lambda: "".join(rnd.choice("bdfgklmn") + rnd.choice("aeiou") for _ in range(rnd.randrange(2, 4)))
+    items = [[word() for _ in range(20)] for _ in range(3)]
+    rows, labels = [], []
+    for i in range(700):
+        words = [word() for _ in range(60)]
+        if i > 60 and i % 4 == 0:  # copies of an earlier text, some near, some not near enough
+            words = rows[rnd.choice([k for k in range(40) if k % 7 != 3])][1].split()
+            for _ in range(rnd.randrange(4)):
+                words[rnd.randrange(len(words))] = word()
+        if i % 23 == 5:
+            words[30:30] = items[i % 3]
+        if i % 9 == 0:
+            words[rnd.randrange(50)] = rnd.choice(["mail jo.doe@mail.example.org", "10.1.2.3", "4111 1111 1111 1111,"])
+        toxic = i % 7 == 3
+        if toxic:
+            for _ in range(3):
+                words[rnd.randrange(len(words))] = rnd.choice(["zzgrub", "Zzgrubs,", "xraxl", "xraxli."])
+        rows.append((i, " ".join(words), 0))
+        labels.append((i, int(toxic)))
+    rows += [(700, "", 0), (701, None, 0), (702, "few words", 0), (703, "few words", 0)]
+    rnd.shuffle(rows)
+    for name, data, schema in (("documents", rows, "doc_id long, text string, n_chars long"), ("labels", labels, "doc_id long, toxic int"), ("benchmark", [(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string")):
+        spark.createDataFrame(data, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    stages = dict(p.STAGES)
+
+    def after(name, df):
+        out = stages[name](spark, df, str(tmp_path))
+        out.write.parquet(f"{tmp_path}/{name}")
+        out = spark.read.parquet(f"{tmp_path}/{name}")
+        return out, {r.doc_id: r.text for r in out.collect()}
+
+    docs, left = after("toxicity", docs)
+    bad = {i for i, y in labels if y}
+    assert left == {i: t for i, t, _ in rows if i not in bad}
+
+    def shingles(t):
+        w = (t or "").lower().split()
+        return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+    sets, root = {i: shingles(t) for i, t in left.items()}, {i: i for i in left}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in sets:
+        for j in sets:
+            if i < j and sets[i] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    want = {i: t for i, t in left.items() if find(i) == i}
+    docs, left = after("near_duplicates", docs)
+    assert left == want and 450 < len(left) < 600
+
+    share = lambda t, x: plain_lcs((t or "").split(), x) / len(x)
+    want = {i: t for i, t in left.items() if all(share(t, x) < LCS for x in items)}
+    dropped = len(left) - len(want)
+    docs, left = after("decontamination", docs)
+    assert left == want and dropped > 15
+
+    plain = lambda t: re.sub(r"4111 1111 1111 1111", "[CARD]", re.sub(r"10\.1\.2\.3", "[IP]", re.sub(r"jo\.doe@mail\.example\.org", "[EMAIL]", t)))
+    want = {i: t and plain(t) for i, t in left.items()}
+    docs, left = after("personal_data", docs)
+    assert left == want and sum("[" in (t or "") for t in left.values()) > 30
+    assert all(r.n_chars == len(r.text) for r in docs.where("text IS NOT NULL").collect())
+
+    tokenizer = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
+    ids = {i: [*tokenizer.encode(t or "", add_special_tokens=False).ids, 1] for i, t in left.items()}
+    pieces = stages["packing"](spark, docs, str(tmp_path)).collect()
+    assert {(r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens) for r in pieces} == {(i, 0, len(x), zlib.crc32(np.array(x, "<u4").tobytes()), len(x)) for i, x in ids.items()}
+    whole = {(r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens) for r in p.run(spark, str(tmp_path)).collect()}
+    assert whole == {(r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens) for r in pieces}

@@ -45,6 +45,41 @@ def test_edits_across_ranges(spark):
         assert r.near_edited == BottomK.parse(r.fingerprint).resemblance(s)
 
 
+def test_likeness_as_by_sets(spark):
+    """Against sets of runs of 12 bytes: exact where the sketches hold all of them, within four standard errors beyond."""
+    rnd = random.Random(12)
+    base = "".join(rnd.choice("abcdefgh é") for _ in range(4000))
+    rows = []
+    for i in range(120):
+        n = rnd.choice([0, 1, 3, 20, 45, 60]) if i % 2 else rnd.randrange(800, 3000)
+        at = rnd.randrange(900)
+        rows.append((i * 3, base[at : at + n]))
+
+    def runs(t):
+        raw = b"\0" * 11 + t.encode()
+        return {raw[k : k + 12] for k in range(len(t.encode()))}
+
+    def like(a, b):
+        a, b = runs(a), runs(b)
+        return (len(a & b) / len(a | b) if a | b else 1.0), len(a | b)
+
+    texts = dict(rows)
+    want, prints, exact, far = edited(rows), {}, 0, []
+    for r in fingerprint(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect():
+        after = texts.get(r.doc_id + 3, texts[0])
+        for got, other in ((r.near_edited, want[r.doc_id][1]), (r.near_next, after)):
+            true, n = like(texts[r.doc_id], other)
+            if n <= 128:
+                assert abs(got - true) < 1e-12
+                exact += 1
+            else:
+                far.append(abs(got - true) - 4 * (true * (1 - true) / 128) ** 0.5)
+        n = len(runs(texts[r.doc_id]))
+        assert r.n_shingles == n if n < 128 else abs(r.n_shingles / n - 1) < 0.4
+        assert prints.setdefault(r.fingerprint, texts[r.doc_id]) == texts[r.doc_id] or n > 128
+    assert exact > 50 and len(far) > 50 and max(far) < 0.02
+
+
 def test_odd_documents(odd, none, spark):
     got = fingerprint(odd).collect()
     assert len(got) == odd.count() and fingerprint(none).count() == 0

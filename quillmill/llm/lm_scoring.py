@@ -31,9 +31,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import fold, parts, written
-from .kernels import U, Words, distinct, mix, pieces
+from .kernels import U, Words, distinct, mix, pieces, planes, steps, unplanes, unsteps
 
-DEPTH = 5  # context bytes; the key of a context and a byte has to fit 64 bits
+DEPTH = 6  # context bytes; the key of a context and a byte has to fit 64 bits
 CHUNK_BYTES, MOST_CHUNK_BYTES = 8 << 20, 64 << 20  # a chunk grows with the root of the input, so that requests stay packed
 GATHER_KEYS = 1 << 21
 GATHER_BYTES = 64 << 30  # counts of more text than this are merged in two rounds
@@ -165,7 +165,7 @@ def _rows(kind: int, keys: np.ndarray, counts: np.ndarray | None, buckets: int,
     out = []
     for a, e in zip(cut.tolist(), [*cut[1:].tolist(), len(b)], strict=True):
         salt = int(chunk * 0x9E3779B97F4A7C15 >> 32 & 0xFFFFFFFF) % salts.get(int(b[a]), 1) if salts and kind == NGRAM else 0
-        out.append((kind, int(b[a]), salt, chunk, keys[a:e].tobytes(), None if counts is None else counts[order[a:e]].tobytes()))
+        out.append((kind, int(b[a]), salt, chunk, steps(keys[a:e]), None if counts is None else planes(counts[order[a:e]])))
     return out
 
 
@@ -218,15 +218,19 @@ def _gather(buckets: int, depth: int, rounds: int):
     return gather
 
 
-def _blobs(table: pa.Table, name: str) -> list[np.ndarray]:
-    return [np.frombuffer(x, np.uint64) for x in table.column(name).to_pylist()]
+def _keys(table: pa.Table) -> list[np.ndarray]:
+    return [unsteps(x) for x in table.column("keys").to_pylist()]
+
+
+def _counts(table: pa.Table) -> list[np.ndarray]:
+    return [unplanes(x, np.uint64) for x in table.column("counts").to_pylist()]
 
 
 def _merged(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     """One row of a bucket's counts from a part of the tasks."""
     kind, bucket, chunk = (k.as_py() for k in key)
-    keys, counts = _merge([*zip(_blobs(table, "keys"), _blobs(table, "counts"), strict=True)])
-    return pa.Table.from_batches([_batch([(kind, bucket, 0, chunk, keys.tobytes(), counts.tobytes())])])
+    keys, counts = _merge([*zip(_keys(table), _counts(table), strict=True)])
+    return pa.Table.from_batches([_batch([(kind, bucket, 0, chunk, steps(keys), planes(counts))])])
 
 
 _MODEL = "kind int, bucket long, keys binary, counts binary, n long, total long, node array<int>, n0 array<double>, n1 array<double>, weighted array<double>"
@@ -236,14 +240,14 @@ def _model(depth: int):
     def model(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         """The bucket's counts, and what the nodes of depth two pass on to depth one."""
         kind, bucket = (k.as_py() for k in key)
-        keys, counts = _merge([*zip(_blobs(table, "keys"), _blobs(table, "counts"), strict=True)])
+        keys, counts = _merge([*zip(_keys(table), _counts(table), strict=True)])
         node = n0 = n1 = weighted = None
         if kind == NGRAM:
             nodes, a, b, w = _Tree(keys, counts, depth).top
             up = (((nodes >> U(16)) << U(8)) | (nodes & U(255))).astype(np.int64)
             node, at = np.unique(up, return_inverse=True)
             n0, n1, weighted = (np.bincount(at, weights=x) for x in (a, b, w))
-        row = [kind, bucket, keys.tobytes(), counts.tobytes(), len(keys), int(counts.sum()), node, n0, n1, weighted]
+        row = [kind, bucket, steps(keys), planes(counts), len(keys), int(counts.sum()), node, n0, n1, weighted]
         kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int32()), *[pa.list_(pa.float64())] * 3)
         return pa.table([pa.array([x], t) for x, t in zip(row, kinds, strict=True)], names=["kind", "bucket", "keys", "counts", "n", "total", "node", "n0", "n1", "weighted"])
 
@@ -298,10 +302,10 @@ def _answer(depth: int, top):
     def answer(key: tuple[pa.Scalar, ...], asked: pa.Table, model: pa.Table) -> pa.Table:
         """For n-grams log10 of the byte's probability, for words their count in training."""
         kind = key[0].as_py()
-        wanted = _blobs(asked, "keys")
+        wanted = _keys(asked)
         if not wanted:
             return pa.table({"kind": pa.array([], pa.int32()), "bucket": pa.array([], pa.int64()), "chunk": pa.array([], pa.int64()), "values": pa.array([], pa.binary())})
-        keys, counts = (_blobs(model, "keys")[0], _blobs(model, "counts")[0]) if model.num_rows else (np.zeros(0, np.uint64),) * 2
+        keys, counts = (_keys(model)[0], _counts(model)[0]) if model.num_rows else (np.zeros(0, np.uint64),) * 2
         unique, at = np.unique(np.concatenate(wanted), return_inverse=True)
         if kind == NGRAM:
             value = _Tree(keys, counts, depth).log10(unique, top).astype(np.float32)
@@ -315,7 +319,7 @@ def _answer(depth: int, top):
         return pa.table(
             {
                 "kind": asked.column("kind"), "bucket": asked.column("bucket"), "chunk": asked.column("chunk"),
-                "values": pa.array([value[e - len(w) : e].tobytes() for w, e in zip(wanted, ends, strict=True)], pa.binary()),
+                "values": pa.array([planes(value[e - len(w) : e]) for w, e in zip(wanted, ends, strict=True)], pa.binary()),
             }
         )
 
@@ -343,7 +347,7 @@ def _score(buckets: int, depth: int):
         table: dict[int, np.ndarray] = {}
         for kind, dtype in ((NGRAM, np.float32), (WORD, np.float64)):
             rows = answers.filter(pa.compute.equal(answers.column("kind"), kind)).sort_by("bucket")
-            table[kind] = np.frombuffer(b"".join(rows.column("values").to_pylist()), dtype)
+            table[kind] = np.concatenate([np.zeros(0, dtype), *(unplanes(x, dtype) for x in rows.column("values").to_pylist())])
         # the keys in the order of the answers: by bucket, then by key
         known: dict[int, list] = {NGRAM: [], WORD: []}
         for piece in pieces(texts):

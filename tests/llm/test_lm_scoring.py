@@ -8,8 +8,11 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 
 from quillmill.llm import lm_scoring
+from quillmill.llm.kernels import planes, steps, unplanes, unsteps
 from quillmill.llm.lm_scoring import _Tree, keys_of, log_gamma, log_kt, score_texts
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -80,7 +83,7 @@ class Brute:
         return sum(math.log10(self.p(c, node, b)) for c, node, b in self.bits(text))
 
 
-@pytest.mark.parametrize("depth", [2, 3, 5])
+@pytest.mark.parametrize("depth", [2, 3, 6])
 def test_scores_as_by_the_definition(spark, depth):
     rnd = random.Random(depth)
     rows = [(i, " ".join(rnd.choice(("abra", "cadabra", "Ab", "ba", "cab", "é")) for _ in range(rnd.randrange(0, 9)))) for i in range(60)]
@@ -93,7 +96,7 @@ def test_scores_as_by_the_definition(spark, depth):
 
 
 def test_every_decision_as_by_the_definition():
-    depth, texts = 5, ["abra cadabra", "ab ba", "cab abra", "abra abra cab"]
+    depth, texts = 6, ["abra cadabra", "ab ba", "cab abra", "abra abra cab"]
     model = Brute(texts, depth)
     keys, counts = np.unique(np.concatenate([keys_of([t], depth)[0] for t in texts]), return_counts=True)
     tree = _Tree(keys, counts.astype(np.uint64), depth, least=0)
@@ -151,3 +154,10 @@ def test_gamma():
     x = np.array([0.5, 1, 1.5, 7, 1e3, 1e7])
     assert np.allclose(log_gamma(x), [math.lgamma(v) for v in x], rtol=1e-11, atol=1e-11)
     assert log_kt(np.array([1.0]), np.array([0.0]))[0] == pytest.approx(math.log(0.5))
+
+
+@given(st.lists(st.integers(0, 2**64 - 1)), st.lists(st.floats(width=32, allow_nan=False)))
+def test_keys_and_values_travel_whole(keys, values):
+    keys, values = np.unique(np.array(keys, np.uint64)), np.array(values, np.float32)
+    assert unsteps(steps(keys)).tolist() == keys.tolist() and unsteps(steps(keys)).dtype == np.uint64
+    assert unplanes(planes(values), np.float32).tolist() == values.tolist()

@@ -47,9 +47,12 @@ def planes(x: np.ndarray) -> bytes:
     return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
 
 
-def unplanes(raw: bytes, dtype) -> np.ndarray:
+def unplanes(raw, dtype) -> np.ndarray:
+    """The array that ``planes`` made ``raw`` (bytes or an Arrow buffer) of."""
+    if not len(raw):
+        return np.zeros(0, dtype)
     size = np.dtype(dtype).itemsize
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, len(raw) // size).T).view(dtype).reshape(-1)
+    return np.frombuffer(raw, np.uint8).reshape(size, len(raw) // size).T.copy().view(dtype).reshape(-1)
 
 
 def steps(keys: np.ndarray) -> bytes:
@@ -57,8 +60,9 @@ def steps(keys: np.ndarray) -> bytes:
     return planes(np.diff(keys, prepend=U(0)))
 
 
-def unsteps(raw: bytes) -> np.ndarray:
-    return np.cumsum(unplanes(raw, np.uint64), dtype=np.uint64)
+def unsteps(raw) -> np.ndarray:
+    keys = unplanes(raw, np.uint64)
+    return np.cumsum(keys, out=keys)
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:

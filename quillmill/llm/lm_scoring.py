@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -219,11 +220,11 @@ def _gather(buckets: int, depth: int, rounds: int):
 
 
 def _keys(table: pa.Table) -> list[np.ndarray]:
-    return [unsteps(x) for x in table.column("keys").to_pylist()]
+    return [unsteps(x.as_buffer()) for x in table.column("keys")]
 
 
 def _counts(table: pa.Table) -> list[np.ndarray]:
-    return [unplanes(x, np.uint64) for x in table.column("counts").to_pylist()]
+    return [unplanes(x.as_buffer(), np.uint64) for x in table.column("counts")]
 
 
 def _merged(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
@@ -306,7 +307,10 @@ def _answer(depth: int, top):
         if not wanted:
             return pa.table({"kind": pa.array([], pa.int32()), "bucket": pa.array([], pa.int64()), "chunk": pa.array([], pa.int64()), "values": pa.array([], pa.binary())})
         keys, counts = (_keys(model)[0], _counts(model)[0]) if model.num_rows else (np.zeros(0, np.uint64),) * 2
-        unique, at = np.unique(np.concatenate(wanted), return_inverse=True)
+        ends = np.cumsum([len(w) for w in wanted])
+        wanted = np.concatenate(wanted)  # the parts go before the search begins
+        unique, at = np.unique(wanted, return_inverse=True)
+        del wanted
         if kind == NGRAM:
             value = _Tree(keys, counts, depth).log10(unique, top).astype(np.float32)
         else:
@@ -315,11 +319,10 @@ def _answer(depth: int, top):
                 place = np.minimum(np.searchsorted(keys, unique), len(keys) - 1)
                 value = np.where(keys[place] == unique, counts[place], 0).astype(np.float64)
         value = value[at]
-        ends = np.cumsum([len(w) for w in wanted])
         return pa.table(
             {
                 "kind": asked.column("kind"), "bucket": asked.column("bucket"), "chunk": asked.column("chunk"),
-                "values": pa.array([planes(value[e - len(w) : e]) for w, e in zip(wanted, ends, strict=True)], pa.binary()),
+                "values": pa.array([planes(value[a:e]) for a, e in pairwise([0, *ends.tolist()])], pa.binary()),
             }
         )
 
@@ -347,7 +350,7 @@ def _score(buckets: int, depth: int):
         table: dict[int, np.ndarray] = {}
         for kind, dtype in ((NGRAM, np.float32), (WORD, np.float64)):
             rows = answers.filter(pa.compute.equal(answers.column("kind"), kind)).sort_by("bucket")
-            table[kind] = np.concatenate([np.zeros(0, dtype), *(unplanes(x, dtype) for x in rows.column("values").to_pylist())])
+            table[kind] = np.concatenate([np.zeros(0, dtype), *(unplanes(x.as_buffer(), dtype) for x in rows.column("values"))])
         # the keys in the order of the answers: by bucket, then by key
         known: dict[int, list] = {NGRAM: [], WORD: []}
         for piece in pieces(texts):

@@ -233,5 +233,9 @@ def read_archives(archives: DataFrame) -> DataFrame:
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
-    """Write ``pages`` as archives in the shared folder and read them back."""
+    """Write ``pages`` as archives in the shared folder and read them back: a row per row of ``pages``.
+
+    Nulls, ties and repeated rows as in ``write_archives``. A very long payload
+    is compressed whole when written and read in blocks.
+    """
     return read_archives(write_archives(pages, scratch(pages.sparkSession, "warc")))

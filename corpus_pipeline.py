@@ -24,12 +24,16 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (Jaccard similarity of 5-word shingles of 0.8 or more)."""
+    """One document of each group of near duplicates (Jaccard similarity of 5-word shingles of 0.8 or more): that of the least doc_id.
+
+    Null and blank texts all stay, one of identical rows stays; a row without
+    doc_id gives way to one with.
+    """
     return keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no item of ``benchmark``."""
+    """Documents that hold no item of ``benchmark``; null and empty texts stay, and all do where there are no items."""
     return clean(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -39,7 +43,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in sequences of 2048 tokens."""
+    """Pieces of all documents in sequences of 2048 tokens; null and empty texts have the end token alone, repeated rows are packed each."""
     return pack(docs)
 
 

@@ -2,9 +2,9 @@
 
 1. Every item's words that are rarer in the corpus (half of its distinct words)
    are its keys; document frequencies count all documents.
-2. Passages, of items and of documents, are tf-idf vectors over all keys. A
-   randomised SVD of a matrix of passages, summed over the cluster, gives the
-   latent space.
+2. Passages, of items and of all documents, are tf-idf vectors over all keys.
+   How often two keys share a passage is counted over the cluster, and a
+   randomised SVD of these counts, weighted, gives the latent space.
 3. Every window of every document that holds enough keys is projected, and its
    cosine with the items' passages selects candidates.
 4. A window around which so many of an item's rarer words lie that the item may
@@ -18,6 +18,7 @@
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,11 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import remove, written
 from .kernels import U, Words, distinct, pieces
 
 BLOCK = 24  # words; a window is two blocks next to each other, and so is a passage of an item
 RANK, OVERSAMPLE = 192, 16
-SVD_DOCUMENTS = 2000  # expected number of documents that join the items' passages in the SVD, drawn by a hash of id and text
+HELD_PAIRS = 1 << 20  # pairs of keys that a task holds before it passes them on
 COSINE = 0.4
 LCS, LCS_WITH_ANSWER, ANSWER = 0.75, 0.6, 0.5
 ANSWER_WORDS = 0.25  # the share of an item's words that is its answer
@@ -246,9 +248,13 @@ class Index:
                 place = (t, int(w.first[t]) + max(0, int(b - base[t])) * BLOCK, int(self.owner[p]))
                 found[place] = max(found.get(place) or 0.0, float(cos[i, p]))
         best: dict[tuple[int, int], tuple[float, float, float]] = {}
+        times: dict[int, Counter] = {}
         for (t, start, item), c in found.items():
             mine, end = self.words[item], int(w.first[t + 1])
             around = hashes[max(int(w.first[t]), start - len(mine)) : min(end, start + 2 * BLOCK + len(mine))]
+            own = times.get(item) or times.setdefault(item, Counter(mine.tolist()))
+            if sum(map(own.get, own.keys() & around.tolist())) / len(mine) < min(LCS, LCS_WITH_ANSWER):
+                continue  # so many of the item's words are missing that no order of the others is enough
             share, answer = confirm(mine, around)
             if share >= LCS or (share >= LCS_WITH_ANSWER and answer >= ANSWER):
                 now = (self._cosine(hashes[start : min(end, start + 2 * BLOCK)], item) if c is None else c, share, answer)
@@ -266,20 +272,50 @@ def confirm(item: np.ndarray, around: np.ndarray) -> tuple[float, float]:
     return lcs_length(mine, region) / len(mine), lcs_length(tail, region) / len(tail)
 
 
-def _sketch(keys: _Vocabulary, weight: np.ndarray, step: np.ndarray, parts_: int):
-    """Of a task's passages A the product of A's transpose with A and ``step``, in runs of rows."""
+def _pairs(keys: _Vocabulary):
+    """Of a task's passages the product of A's transpose with A, where A counts a passage's keys: lower place times keys plus higher place, and the entry."""
+    size = len(keys.hashes)
 
-    def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = np.zeros_like(step)
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for b in batches:
             for piece in pieces(t.as_py() for t in b.column("text")):
                 w = Words(piece)
                 block, key, _, _ = _blocks(w, keys.places(w.hashes()))
-                if not len(block):
-                    continue
-                cut = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1])))
-                y = np.add.reduceat(step[key] * weight[key, None], cut)
-                np.add.at(out, key, weight[key, None] * np.repeat(y, np.diff(cut, append=len(block)), axis=0))
+                found, times = [key * (size + 1)], [np.ones(len(key), np.int64)]
+                for lag in range(1, BLOCK):
+                    i = np.flatnonzero(block[lag:] == block[:-lag])
+                    if not len(i):
+                        break
+                    x, y = key[i], key[i + lag]
+                    found.append(np.minimum(x, y) * size + np.maximum(x, y))
+                    times.append(np.where(x == y, 2, 1))
+                held, at = np.unique(np.concatenate([held, *found]), return_inverse=True)
+                n = np.bincount(at, weights=np.concatenate([n, *times]), minlength=len(held)).astype(np.int64)
+                if len(held) > HELD_PAIRS:
+                    yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(n)], names=["pair", "n"])
+                    held, n = held[:0], n[:0]
+        yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(n)], names=["pair", "n"])
+
+    return count
+
+
+def _sketch(weight: np.ndarray, step: np.ndarray, parts_: int):
+    """Of a task's pairs the weighted product with ``step``, in runs of rows."""
+
+    def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros_like(step)
+        for b in batches:
+            pair, n = b.column("pair").to_numpy(), b.column("n").to_numpy()
+            x, y = pair // len(step), pair % len(step)
+            value = n * weight[x] * weight[y]
+            apart = x != y  # the other half of the matrix
+            for row, of, v in ((x, y, value), (y[apart], x[apart], value[apart])):
+                order = np.argsort(row, kind="stable")
+                row, of, v = row[order], of[order], v[order]
+                cut = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1]))) if len(row) else np.zeros(0, np.int64)
+                if len(cut):
+                    out[row[cut]] += np.add.reduceat(step[of] * v[:, None], cut)
         for k, rows in enumerate(np.array_split(out, parts_)):
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([rows.astype(np.float64).tobytes()], pa.binary())], names=["run", "rows"])
 
@@ -291,24 +327,24 @@ def _sum(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     return pa.table({"run": pa.array([key[0].as_py()], pa.int32()), "rows": pa.array([total.tobytes()], pa.binary())})
 
 
-def latent_space(docs: DataFrame, items: DataFrame, keys: _Vocabulary, weight: np.ndarray, total: int, rank: int = RANK, most: int = SVD_DOCUMENTS) -> np.ndarray:
-    """Right singular vectors (keys by rank) of the tf-idf matrix of passages: all items', and those of about ``most`` of the ``total`` documents.
+def latent_space(docs: DataFrame, items: DataFrame, keys: _Vocabulary, weight: np.ndarray, rank: int = RANK) -> np.ndarray:
+    """Right singular vectors (keys by rank) of the tf-idf matrix of passages: all items' and all documents'.
 
-    Randomised: a random start, two products with the matrix and its transpose
-    summed over the cluster, and an orthonormal basis after each. A product
-    has one row a key, and keys are words of the items, so its size does not
-    depend on the documents.
+    The product of the matrix's transpose with it has a row and a column a
+    key, and keys are words of the items, so its size does not depend on the
+    documents; its entries are whole numbers times weights. Randomised: a
+    random start, two products with it, and an orthonormal basis after each.
     """
     n = len(keys.hashes)
     width = min(n, rank + OVERSAMPLE)
-    fine = 10**12
-    sample = docs.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string"), "text"), F.lit(fine)) < math.ceil(fine * min(1.0, most / max(1, total)))).select("text")
-    text = sample.union(items.select("text")).repartition(8)
+    counted = docs.select("text").union(items.select("text")).mapInArrow(_pairs(keys), "pair long, n long")
+    pairs = written(counted.groupBy("pair").agg(F.sum("n").alias("n")), "pairs")
     basis = np.linalg.qr(np.random.Generator(np.random.PCG64(11)).standard_normal((n, width)))[0]
     for _ in range(2):
-        rows = text.mapInArrow(_sketch(keys, weight, basis, 8), "run int, rows binary").groupBy("run").applyInArrow(_sum, "run int, rows binary").orderBy("run").collect()
+        rows = pairs.repartition(8).mapInArrow(_sketch(weight, basis, 8), "run int, rows binary").groupBy("run").applyInArrow(_sum, "run int, rows binary").orderBy("run").collect()
         image = np.concatenate([np.frombuffer(r.rows) for r in rows]).reshape(n, width)
         basis, size, _ = np.linalg.svd(image, full_matrices=False)
+    remove(pairs)
     return basis[:, : min(rank, width)][:, size[: min(rank, width)] > 0]
 
 
@@ -333,7 +369,7 @@ def build_index(docs: DataFrame, items: DataFrame) -> Index | None:
     chosen = distinct(np.concatenate(rare))
     keys = _Vocabulary(vocabulary.hashes[chosen])
     weight = np.log((1 + total) / (1 + df[chosen])) + 1
-    vectors = (latent_space(docs, items, keys, weight, total) * weight[:, None]).astype(np.float32)
+    vectors = (latent_space(docs, items, keys, weight) * weight[:, None]).astype(np.float32)
     passages, owner = [], []
     for k, (_, words) in enumerate(own):
         place = keys.places(words)

@@ -206,6 +206,39 @@ def test_odd_benchmarks(odd, none, spark):
     assert left.columns == odd.columns and clean(odd, bench.limit(0)).count() == odd.count()
 
 
+def spread(spark):
+    """More documents than a sample would take, of the words of 20 items."""
+    rnd = random.Random(12)
+    items = [[f"a{k}x{j}" for j in range(20)] for k in range(20)]
+    texts = [" ".join(rnd.choice(items[rnd.randrange(20)]) for _ in range(rnd.randrange(30, 70))) for _ in range(4000)]
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").repartition(3)
+    return texts, items, docs, spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string")
+
+
+def of_all(index, texts, items):
+    """The index's latent space is that of numpy's decomposition of the passages of every document."""
+    at = {int(h): i for i, h in enumerate(index.keys.hashes)}
+    place = {x: at.get(int(Words([x]).hashes()[0]), -1) for item in items for x in item}
+    held, product = np.zeros(len(at)), np.zeros((len(at),) * 2)
+    for k, text in enumerate([*texts, *(" ".join(x) for x in items)]):
+        words = text.split()
+        if k < len(texts):
+            held[[place[x] for x in {*words} if place[x] >= 0]] += 1
+        for a in range(0, len(words), BLOCK):
+            own = np.bincount([place[x] for x in words[a : a + BLOCK] if place[x] >= 0], minlength=len(at))
+            product += np.outer(own, own)
+    weight = np.log((1 + len(texts)) / (1 + held)) + 1
+    best = np.linalg.eigh(product * np.outer(weight, weight))[1][:, ::-1][:, : index.vectors.shape[1]]
+    got = index.vectors / weight[:, None]
+    assert got.shape[1] < len(at) <= 208  # so many that the randomised decomposition is exact, and not all directions are kept
+    assert np.abs(got @ got.T - best @ best.T).max() < 1e-4
+
+
+def test_the_latent_space_is_that_of_all_documents(spark):
+    texts, items, docs, bench = spread(spark)
+    of_all(build_index(docs, bench), texts, items)
+
+
 # ---- personal data ----
 
 RULES = {

@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import functools
+import inspect
 import re
 import shutil
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,6 +70,28 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def release() -> None:
+    """Give memory that is free again back to the system; a worker that waits for its next task would keep it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+    if trim:
+        trim(0)
+
+
+def released(group):
+    """The function of a group of rows, with ``release`` after each group."""
+
+    @functools.wraps(group)
+    def run(*args):
+        try:
+            return group(*args)
+        finally:
+            release()
+
+    run.__signature__ = inspect.signature(group)
+    return run
+
+
 def fold(column: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``; a row without id counts as the empty id."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, parts, written
+from .common import fold, parts, release, released, written
 from .kernels import U, Words, distinct, mix, pieces, planes, steps, unplanes, unsteps
 
 DEPTH = 6  # context bytes; the key of a context and a byte has to fit 64 bits
@@ -179,9 +179,13 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _merge(parts_: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and the sums of their counts. ``parts_`` is emptied: the parts go as soon as they are joined."""
     keys, counts = (np.concatenate(x) for x in zip(*parts_, strict=True))
+    parts_.clear()
     order = np.argsort(keys)
-    keys, counts = keys[order], counts[order]
+    keys = keys[order]
+    counts = counts[order]
+    del order
     cut = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
     return keys[cut], np.add.reduceat(counts, cut) if len(cut) else counts
 
@@ -212,9 +216,13 @@ def _gather(buckets: int, depth: int, rounds: int):
                     size[kind] += len(u)
                     if size[kind] > 2 * GATHER_KEYS and (rows := flush(kind, False)):
                         yield _batch(rows)
+                        del rows
+                        release()
         for kind in held:
             if held[kind] and (rows := flush(kind, True)):
                 yield _batch(rows)
+                del rows
+        release()
 
     return gather
 
@@ -401,16 +409,16 @@ def score_texts(docs: DataFrame, depth: int = DEPTH, folds: int = FOLDS) -> Data
     buckets, rounds = max(2 * parts(spark), chunks), math.ceil((size + 1) / GATHER_BYTES)
     gathered = docs.where("NOT held_out").select("text").mapInArrow(_gather(buckets, depth, rounds), _ROW)
     if rounds > 1:
-        gathered = gathered.groupBy("kind", "bucket", "chunk").applyInArrow(_merged, _ROW)
-    model = written(gathered.groupBy("kind", "bucket").applyInArrow(_model(depth), _MODEL), "model")
+        gathered = gathered.groupBy("kind", "bucket", "chunk").applyInArrow(released(_merged), _ROW)
+    model = written(gathered.groupBy("kind", "bucket").applyInArrow(released(_model(depth)), _MODEL), "model")
     top = _top(model)
     total, distinct = model.where(F.col("kind") == WORD).agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
     dealt = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks))).repartition(max(chunks, parts(spark)), "chunk")
     model, salts = _dealt(model)
-    asked = dealt.groupBy("chunk").applyInArrow(_ask(buckets, depth, salts), _ROW)
-    told = asked.groupBy("kind", "bucket", "salt").cogroup(model.groupBy("kind", "bucket", "salt")).applyInArrow(_answer(depth, top), "kind int, bucket long, chunk long, values binary")
+    asked = dealt.groupBy("chunk").applyInArrow(released(_ask(buckets, depth, salts)), _ROW)
+    told = asked.groupBy("kind", "bucket", "salt").cogroup(model.groupBy("kind", "bucket", "salt")).applyInArrow(released(_answer(depth, top)), "kind int, bucket long, chunk long, values binary")
     out = dealt.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(
-        _score(buckets, depth), "doc_id long, held_out boolean, n_tokens long, n_known long, base double, n_bytes long, score double"
+        released(_score(buckets, depth)), "doc_id long, held_out boolean, n_tokens long, n_known long, base double, n_bytes long, score double"
     )
     scale = math.log10(total + 0.1 * (distinct + 1))
     return out.select(

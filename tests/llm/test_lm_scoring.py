@@ -3,6 +3,7 @@ import itertools
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -161,3 +162,18 @@ def test_keys_and_values_travel_whole(keys, values):
     keys, values = np.unique(np.array(keys, np.uint64)), np.array(values, np.float32)
     assert unsteps(steps(keys)).tolist() == keys.tolist() and unsteps(steps(keys)).dtype == np.uint64
     assert unplanes(planes(values), np.float32).tolist() == values.tolist()
+
+
+def test_merging_drops_its_parts():
+    """While parts are sorted they are held once, not twice."""
+    n = 1 << 18
+    rng = np.random.default_rng(4)
+    parts = [(rng.integers(0, 1 << 60, n, dtype=np.uint64), np.ones(n, np.uint64)) for _ in range(8)]
+    whole = 16 * 8 * n
+    tracemalloc.start()
+    parts = [(k.copy(), c.copy()) for k, c in parts]  # as many bytes, traced
+    keys, counts = lm_scoring._merge(parts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert counts.sum() == 8 * n and (np.diff(keys.astype(np.int64)) > 0).all() and not parts
+    assert peak < 2.8 * whole

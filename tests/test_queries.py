@@ -40,3 +40,13 @@ def test_same_as_sql(spark, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_questions_are_those_of_every_50th_conversation(spark, tmp_path):
+    """All user turns of them, and some of each tenant: ids that 50 divides are no reason to ask nobody."""
+    rows = [(c, t, "assistant" if t % 2 else "user", f"words of {c} {t}") for c in range(1001) for t in range(3)]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    spark.createDataFrame([(1, "words of a document about the words of others", "en", "web", 45)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.question_id: r.events[0] for r in own.QUERIES["ask_answers"](spark, str(tmp_path)).collect()}
+    assert {*got} == {f"{c}-{t}" for c in range(0, 1001, 50) for t in (0, 2)}
+    assert {q for q, e in got.items() if e.startswith("event: error")} == {f"{c}-{t}" for c in range(0, 1001, 250) for t in (0, 2)}

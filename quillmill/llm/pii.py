@@ -83,8 +83,6 @@ FEATURES = {
 }
 CONTEXT = ("before", "after", "named", "crowd")  # the other features are of format
 AROUND = 32  # characters on either side that are context
-TRAIN_DOCUMENTS = 50_000  # expected size of the sample of documents that train the trees, drawn by a hash of id and text
-EXAMPLES = 200  # confirmed spans of a text of the sample, from its start, that are examples
 PRECISION = 0.97
 TREES, DEPTH, RATE = 24, 3, 0.4
 GROUP_WEIGHT = 200.0  # of each of the four groups of examples: corpus and seeds, positive and negative
@@ -259,12 +257,22 @@ def _spans(docs: DataFrame) -> DataFrame:
     return docs.withColumn("_masked", F.expr(_replaced("text", "_base", f"repeat({_q(_MASK)}, x.e - x.s)", f"repeat({_q(_MASK)}, greatest(0, x.e - {{at}}))")))
 
 
-def _proposed(docs: DataFrame, text: str, out: str, kinds: tuple[str, ...] = KINDS) -> DataFrame:
-    """``docs`` with the candidates in ``text`` and their features."""
-    for kind in kinds:
-        docs = docs.withColumn(f"_{kind}", F.expr(_candidates(kind, text)))
-    every = ", ".join(f"transform(_{kind}, x -> {_features(kind, 'x')})" for kind in kinds)
-    return docs.withColumn(out, F.expr(f"concat({every})")).drop(*(f"_{kind}" for kind in KINDS))
+def _proposed(text: str) -> str:
+    """SQL: the candidates of all kinds in ``text`` and their features."""
+    return f"concat({', '.join(f'transform({_candidates(kind, text)}, x -> {_features(kind, chr(120))})' for kind in KINDS)})"
+
+
+def _examples(yes: str, no: str, base: str) -> str:
+    """SQL: candidates (y, c) of one text: positive those of ``yes`` that are spans of ``base``, negative those of ``no`` that fail their exact test.
+
+    Spans and candidates are sorted together. A span is once in ``base``, and
+    no more often among a kind's candidates than the kind has generators, so
+    it stands among the few before an equal candidate.
+    """
+    both = f"concat(transform({base}, x -> named_struct('s', x.s, 'e', x.e, 'k', x.k, 'i', -1)), transform({yes}, (x, i) -> named_struct('s', x.s, 'e', x.e, 'k', x.k, 'i', i)))"
+    before = " OR ".join(f"(i >= {d} AND get(o, i - {d}).i < 0 AND get(o, i - {d}).s = x.s AND get(o, i - {d}).e = x.e AND get(o, i - {d}).k = x.k)" for d in range(1, 1 + max(map(len, _GENERATORS.values()))))
+    own = _let(f"array_sort({both})", "o", f"transform(filter(o, (x, i) -> x.i >= 0 AND ({before})), x -> named_struct('y', 1, 'c', get({yes}, x.i)))")
+    return f"concat({own}, transform(filter({no}, x -> NOT x.holds), x -> named_struct('y', 0, 'c', x)))"
 
 
 # ---- boosted trees over counts of feature values ----
@@ -305,6 +313,16 @@ def _sql(tree, x: str) -> str:
     return f"{tree:.6f}D"
 
 
+def _splits(tree):
+    """A tree without its leaves' weights."""
+    return (*tree[:2], *map(_splits, tree[2:])) if isinstance(tree, tuple) else None
+
+
+def _added(trees: list):
+    """The sum of trees that split alike."""
+    return (*trees[0][:2], *(_added(list(side)) for side in zip(*(t[2:] for t in trees), strict=True))) if isinstance(trees[0], tuple) else sum(trees)
+
+
 class Boosted:
     """Logistic boosting of small trees for one kind, and its calibrated threshold."""
 
@@ -341,7 +359,11 @@ class Boosted:
         return RATE * sum(_value(t, x) for t in self.trees)
 
     def sql(self, x: str) -> str:
-        return f"({RATE}D * ({' + '.join(_sql(t, x) for t in self.trees)}))"
+        """Trees that split alike are one, whose leaves are their sums."""
+        alike: dict[tuple | None, list] = {}
+        for t in self.trees:
+            alike.setdefault(_splits(t), []).append(t)
+        return f"({RATE}D * ({' + '.join(_sql(_added(ts), x) for ts in alike.values())}))"
 
     def features(self) -> set[str]:
         """Features that some tree splits on."""
@@ -394,26 +416,30 @@ def seeds(spark: SparkSession) -> DataFrame:
     return spark.sql(f"SELECT * FROM VALUES {', '.join(rows)} AS t(fold, y, text, kind, s, e)")
 
 
-def train(docs: DataFrame, most: int = TRAIN_DOCUMENTS) -> dict[str, Boosted]:
-    """A model for each kind, from the seeds and about ``most`` documents (doc_id, text) at most.
+def examples(docs: DataFrame) -> DataFrame:
+    """(seed, fold, y, k, features) of every example of ``docs`` and of the seeds."""
+    key = F.xxhash64(F.col("doc_id").cast("string") if "doc_id" in docs.columns else F.lit(""), "text")
+    own = _spans(docs.select("text", key.alias("key")).where(F.col("text").rlike(r"@|[0-9]{3}|[0-9][.\[( ]|[(\[]at| dot ")))
+    own = own.selectExpr("0 AS seed", "CAST(pmod(key DIV 7, 4) = 0 AS INT) AS fold", "text", "_masked", "_base", "0 AS y")
+    phrases = seeds(docs.sparkSession).selectExpr("1 AS seed", "fold", "text", "'' AS _masked", "array(named_struct('k', kind, 's', s, 'e', e)) AS _base", "y")
+    # corpus and seeds, texts and what the rules leave of them share one copy of the generators; without the condition, which always
+    # holds, Catalyst would copy it into both sides of the union and, as it plans, run that of the seeds on the driver
+    found = own.union(phrases).withColumn("_found", F.expr(f"IF(spark_partition_id() >= 0, transform(array(text, _masked), tx -> {_proposed('tx')}), NULL)"))
+    both = _let("_found", "f", _examples("f[0]", "f[1]", "_base"))
+    # explode_outer: a plain explode adds a filter that would repeat all the expressions below it
+    rows = found.select("seed", "fold", "y", F.explode_outer(F.expr(both)).alias("x")).where("x IS NOT NULL")
+    return rows.select("seed", "fold", F.expr("IF(seed = 1, y, x.y)").alias("y"), *(F.col(f"x.c.{x}") for x in ("k", *FEATURES)))
+
+
+def train(docs: DataFrame) -> dict[str, Boosted]:
+    """A model for each kind, from the seeds and all of ``docs`` (text, and doc_id where there is one).
 
     What reaches the driver are counts by feature values: no more rows than
     there are values, for any input. A kind without examples in ``docs`` is
     judged as the seeds teach.
     """
-    share, fine = min(1.0, most / max(1, docs.count())), 10**12
-    key = F.xxhash64(F.col("doc_id").cast("string") if "doc_id" in docs.columns else F.lit(""), "text")
-    sample = docs.select("text", key.alias("key")).where(F.pmod("key", F.lit(fine)) < math.ceil(fine * share)).where(F.col("text").rlike(r"@|[0-9]{3}|[0-9][.\[( ]|[(\[]at| dot "))
-    found = _spans(sample.withColumn("fold", F.expr("CAST(pmod(key DIV 7, 4) = 0 AS INT)")))
-    found = _proposed(_proposed(found, "text", "_yes"), "_masked", "_no")
-    c, f = [F.col(f"c.{x}") for x in ("k", *FEATURES)], "fold"
-    own = f"exists(slice(_base, 1, {EXAMPLES}), b -> b.k = c.k AND b.s = c.s AND b.e = c.e)"
-    both = f"concat(transform(filter(_yes, c -> {own}), c -> named_struct('y', 1, 'c', c)), transform(filter(_no, c -> NOT c.holds), c -> named_struct('y', 0, 'c', c)))"
-    # explode_outer: a plain explode adds a filter that would repeat all the expressions below it
-    own = found.select(f, F.explode_outer(F.expr(both)).alias("x")).where("x IS NOT NULL").select(F.lit(0).alias("seed"), f, "x.y", "x.c")
-    phrases = _proposed(seeds(docs.sparkSession), "text", "_some").select(f, F.col("y").alias("y"), "kind", "s", "e", F.explode_outer("_some").alias("c")).where("kind = c.k AND c.s = s AND c.e = e").select(f, "y", "c")
-    rows = own.union(phrases.select(F.lit(1).alias("seed"), "*"))
-    counts = rows.groupBy("seed", f, "y", *c).agg(F.count("*").alias("n")).orderBy("seed", f, "y", "k", *FEATURES).collect()
+    by = ("seed", "fold", "y", "k", *FEATURES)
+    counts = examples(docs).groupBy(*by).agg(F.count("*").alias("n")).orderBy(*by).collect()
     assert len(counts) <= 8 * len(KINDS) * math.prod(len(v) for v in FEATURES.values())
     out = {}
     for kind in KINDS:
@@ -445,7 +471,7 @@ def find(docs: DataFrame, models: dict[str, Boosted] | None = None) -> DataFrame
     text = _spans(docs.withColumn("_text", F.col("text")).withColumn("text", F.coalesce("text", F.lit("")))).drop(*(f"_{k}" for k in KINDS))
     score = "CASE c.k " + " ".join(f"WHEN {_q(k)} THEN {m.sql('c')} - {m.threshold:.6f}D" for k, m in models.items()) + " END"
     scored = f"transform(filter(_more, c -> c.holds), c -> named_struct('s', c.s, 'e', c.e, 'k', c.k, 'p', {score}))"
-    out = _proposed(text, "_masked", "_more").withColumn("_more", F.expr(f"array_sort(filter({scored}, c -> c.p >= 0))"))
+    out = text.withColumn("_more", F.expr(_proposed("_masked"))).withColumn("_more", F.expr(f"array_sort(filter({scored}, c -> c.p >= 0))"))
     better = " OR ".join(
         f"(i + {d} BETWEEN 0 AND size(_more) - 1 AND c.s < get(_more, i + {d}).e AND get(_more, i + {d}).s < c.e AND get(_more, i + {d}).p {'>=' if d < 0 else '>'} c.p)" for d in (-2, -1, 1, 2)
     )

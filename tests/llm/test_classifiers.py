@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from quillmill.llm import pii
+from quillmill.llm import common, pii
 from quillmill.llm.decontamination import ANSWER, BLOCK, LCS, LCS_WITH_ANSWER, build_index, clean, confirm, contaminated, lcs_length
 from quillmill.llm.kernels import Words
 from quillmill.llm.toxicity import ADDRESS, FUZZY_FROM, SPEECH, StemAutomaton, choose_stems, features, score_documents, train
@@ -322,6 +322,32 @@ def test_context_alone_decides(spark):
         assert ((kind, s, s + len(number)) in got[i]) == want, texts[i]
 
 
+def test_trees_learn_from_all_documents_and_all_spans(spark, monkeypatch):
+    """Against counting: no document and no span of a text is left out, however many there are."""
+    monkeypatch.setattr(pii, "Boosted", lambda *sides: sides)
+    long = "'mail ' || repeat('a', 40) || id || '@b.org, '"
+    docs = spark.range(60_000).selectExpr("id AS doc_id", f"CASE WHEN id = 0 THEN repeat({long}, 900) WHEN id % 3 = 0 THEN {long} ELSE 'mail a' || id || '@b.org, ' END AS text").cache()
+    fold, n = "CAST(pmod(xxhash64(CAST(doc_id AS STRING), text) DIV 7, 4) = 0 AS INT)", "IF(doc_id = 0, 900, 1)"
+    want = {r.fold: r.share for r in docs.groupBy(F.expr(fold).alias("fold")).agg(F.expr(f"sum(IF(doc_id % 3 = 0, {n}, 0)) / sum({n})").alias("share")).collect()}
+    alone = pii.train(docs.limit(0))["email"]
+    for k, (own, seeds) in enumerate(zip(pii.train(docs)["email"], alone, strict=True)):
+        weight = {tuple(x.values()): yes for x, yes, _ in own}
+        for x, yes, _ in seeds:
+            weight[tuple(x.values())] -= yes
+        size = [*pii.FEATURES].index("size")
+        assert abs(sum(weight.values()) - pii.GROUP_WEIGHT) < 1e-6
+        assert abs(sum(v for x, v in weight.items() if x[size] == 5) / pii.GROUP_WEIGHT - want[k]) < 1e-9
+    docs.unpersist()
+
+
+def test_training_has_one_copy_of_the_generators(spark):
+    """More copies, and phrases that the driver works on while it plans, took over 1500 MB of its memory in the pipeline."""
+    docs = spark.createDataFrame([(1, "mail a@b.org or 1.2.3.4")], "doc_id long, text string")
+    with common.settings(spark, spark__sql__debug__maxToStringFields=10_000):
+        plan = pii.examples(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == len(pii.KINDS) + sum(map(len, pii._GENERATORS.values()))
+
+
 def test_trees_in_sql_score_as_in_python(spark):
     rnd = random.Random(2)
     models = pii.train(spark.createDataFrame([], "doc_id long, text string"))

@@ -30,6 +30,8 @@ import random
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import release_driver
+
 KINDS = ("email", "ip", "card", "phone")
 
 #: The base rules, with possessive loops, so that Java's matcher neither recurses nor tries a run again from its middle.
@@ -440,6 +442,7 @@ def train(docs: DataFrame) -> dict[str, Boosted]:
     """
     by = ("seed", "fold", "y", "k", *FEATURES)
     counts = examples(docs).groupBy(*by).agg(F.count("*").alias("n")).orderBy(*by).collect()
+    release_driver(docs.sparkSession)  # planning this took much
     assert len(counts) <= 8 * len(KINDS) * math.prod(len(v) for v in FEATURES.values())
     out = {}
     for kind in KINDS:

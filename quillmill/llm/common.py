@@ -88,7 +88,7 @@ def release_driver(spark: SparkSession) -> None:
 
     The JVM's compilers and threads free much in small pieces, which glibc keeps
     for each thread; over many jobs that adds up. HotSpot can hand it back on
-    glibc from Java 17.0.9 on; a JVM that cannot is left as it is.
+    glibc (tried with Java 17.0.19); a JVM that cannot is left as it is.
     """
     release()
     jvm, gateway = spark._jvm, spark.sparkContext._gateway

@@ -50,3 +50,17 @@ def test_questions_are_those_of_every_50th_conversation(spark, tmp_path):
     got = {r.question_id: r.events[0] for r in own.QUERIES["ask_answers"](spark, str(tmp_path)).collect()}
     assert {*got} == {f"{c}-{t}" for c in range(0, 1001, 50) for t in (0, 2)}
     assert {q for q, e in got.items() if e.startswith("event: error")} == {f"{c}-{t}" for c in range(0, 1001, 250) for t in (0, 2)}
+
+
+def test_every_user_turn_is_asked(spark, tmp_path):
+    """Conversations whose id 50 does not divide too, and each question finds the document that holds its word."""
+    words = [f"{a}{b}" for a in "bdfgk" for b in ("alpaca", "onyx", "umber", "iris")]
+    rows = [(c, t, "assistant" if t == 1 else "user", f"Where does {w} live {'now' if t else 'today'}?") for c, w in enumerate(words, 1) for t in range(3)]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    docs = [(c, f"The {w} is a creature of the northern hills.", "en", "web", 45) for c, w in enumerate(words, 1)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.question_id: "".join(r.events) for r in own.QUERIES["ask_answers"](spark, str(tmp_path)).collect()}
+    assert {*got} == {f"{c}-{t}" for c in range(1, len(words) + 1) for t in (0, 2)}
+    for c, w in enumerate(words, 1):
+        for e in (got[f"{c}-0"], got[f"{c}-2"]):
+            assert e.startswith("event: error") if c % 5 == 0 else f"web-{c}.txt" in e
